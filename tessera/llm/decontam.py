@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Texts are A-Z lower-cased words. A mask keeps 6 of 10 neighbouring words; the kept words' hash is a seed. Seeds of
+Texts are lower-cased words. A mask keeps 6 of 10 neighbouring words; the kept words' hash is a seed. Seeds of
 documents that a bit table of the benchmark's seeds may contain are joined to the benchmark's seeds, and around each
 hit the aligned words are compared: a document holds an item if some window of WINDOW aligned words around a hit (the
 whole item if it is shorter) has at least 80 % equal words. All masks keep their first and last word, so one look-up in
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import cut
 
 SPAN = 10
 MASKS = [(0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 8, 9), (0, 3, 5, 6, 7, 9)]
@@ -23,8 +23,8 @@ TABLE_BITS = 20  # of each bit table: 128 KB, whatever the benchmark's size
 
 
 def word_hashes(text: Column) -> Column:
-    """Hashes of the A-Z lower-cased words of a text, in order; none for null texts."""
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+")
+    """Hashes of the lower-cased words of a text, in order; none for null texts."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
