@@ -1,3 +1,8 @@
-"""Tessera: a typed-table analytics engine that runs on Spark DataFrames."""
+"""A Spark-native engine for typed flat tables: SQL, a builder and predicate lists over Parquet and versioned tables."""
 
-__version__ = "0.1.0"
+from .errors import BadArgs, BadSchema, Corrupt, EngineError, NotFound, StorageError
+from .operators import And, Op, Or, Pred
+from .plans import query
+from .session import Database
+
+__all__ = ["And", "BadArgs", "BadSchema", "Corrupt", "Database", "EngineError", "NotFound", "Op", "Or", "Pred", "StorageError", "query"]
