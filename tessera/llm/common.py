@@ -74,6 +74,11 @@ def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which 64-bit fingerprints differ. Signed ones are counted as they are stored, not by absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+
+
 class Memo(dict):
     """A bounded cache of a function of one argument."""
 

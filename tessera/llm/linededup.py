@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, majority_bits, tile_pairs, tiles
+from .common import Memo, components, cut, differing, majority_bits, tile_pairs, tiles
 
 DISTANCE = 3
 SIMILAR = 0.8
@@ -45,7 +45,7 @@ def pair_keys(fp: np.ndarray) -> np.ndarray:
 
 def meets(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Pairs of fingerprints within DISTANCE whose first agreeing pair of blocks is the key's, so that each pair counts once."""
-    near = np.bitwise_count(x ^ y) <= DISTANCE
+    near = differing(x, y) <= DISTANCE
     same = np.zeros(len(x), dtype=np.int64)
     for i in range(5):
         same |= (block(x ^ y, i) == 0).astype(np.int64) << i
