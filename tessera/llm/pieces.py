@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from .common import Memo
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+SLICE = 128
+REMEMBERED = 100_000  # stretches, in each task
 
 
 class Vocabulary:
@@ -167,7 +169,7 @@ class Vocabulary:
     def memo(self) -> Memo:
         """Stretches up to 64 characters are remembered; longer ones are streamed again."""
         ids = lambda s: array("i", self.short(s) if len(s) <= 64 else self.stream(s)).tobytes()
-        return Stretches(ids, 400_000)
+        return Stretches(ids, REMEMBERED)
 
     def decode(self, ids: Iterable[int] | None) -> str:
         """The text of ids; ids outside the vocabulary stand for nothing."""
@@ -188,27 +190,47 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def added(df: DataFrame, column: str, schema: str, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """df with the columns of `schema`, made from `column` for SLICE rows at a time; columns of these names are replaced."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    rest = [c for c in df.columns if c not in names]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), *make(b.column(len(rest)))], [*rest, *names])
+
+    return df.select(*rest, F.col(column).alias("_source")).mapInArrow(of, f"{kinds}, {schema}" if kinds else schema)
+
+
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = MODEL) -> DataFrame:
     """docs with the ids of each whole text; null and empty texts have none. A column named `ids` is replaced."""
+    held: list = []
 
-    def of(batches):
+    def of(texts: pa.Array) -> list[pa.Array]:
         v = vocabulary(model)
-        memo = v.memo()
-        for s in batches:
-            yield pd.Series([v.encode(t, memo) for t in s], dtype=object)
+        if not held:
+            held.append(v.memo())
+        return [lists([v.encode(t.as_py(), held[0]) for t in texts])]
 
-    return docs.withColumn(ids, F.pandas_udf(of, "array<int>", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return added(docs, text, f"{ids} array<int>", of)
 
 
 def decode(rows: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """rows with the text of each list of ids; null lists give the empty text."""
 
-    def of(batches):
+    def of(column: pa.Array) -> list[pa.Array]:
         v = vocabulary(model)
-        for s in batches:
-            yield pd.Series([v.decode(None if x is None else x.tolist()) for x in s], dtype=object)
+        return [pa.array([v.decode(x.as_py()) for x in column], pa.string())]
 
-    return rows.withColumn(text, F.pandas_udf(of, "string", F.PandasUDFType.SCALAR_ITER)(F.col(ids)))
+    return added(rows, ids, f"{text} string", of)
 
 
 def encoded_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -216,8 +238,20 @@ def encoded_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     Repeated rows give repeated rows; an empty table gives none; extra columns are ignored.
     """
-    out = decode(encode(docs.select("doc_id", "text"), model=model), model=model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    held: list = []
+
+    def of(texts: pa.Array) -> list[pa.Array]:
+        v = vocabulary(model)
+        if not held:
+            held.append(v.memo())
+        ids, same = [], []
+        for t in texts:
+            t = t.as_py() or ""
+            ids.append(v.encode(t, held[0]))
+            same.append(v.decode(ids[-1].tolist()) == t)
+        return [pa.array([len(x) for x in ids], pa.int64()), lists(ids), pa.array(same)]
+
+    return added(docs.select("doc_id", F.col("text").alias("_text")), "_text", "n_ids long, ids array<int>, round_trip boolean", of).drop("_text")
 
 
 def op9(spark: SparkSession, sf: str) -> DataFrame:
