@@ -117,6 +117,42 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(nodes, dtype=np.int64), np.array(roots, dtype=np.int64)
 
 
+def numbered(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive runs in which the second, third, ... equal hash of a run is made another one, so that no
+    repeated feature outweighs all others in a majority."""
+    if not len(h):
+        return h
+    run = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    key = splitmix(h ^ splitmix(run))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    first = np.flatnonzero(new)
+    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    out = h.copy()
+    again = place > 0
+    out[order[again]] = splitmix(h[order[again]] + place[again].astype(np.uint64))
+    return out
+
+
+def pairs_of_runs(key: np.ndarray, longest: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i < j) of equal neighbours in sorted keys, some at a time, for runs of at most `longest`."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(key)))
+    last = np.repeat(np.where(size <= longest, first + size, 0), size)
+    width = np.maximum(last - np.arange(len(key)) - 1, 0)
+    rows = np.flatnonzero(width)
+    total = np.cumsum(width[rows])
+    done = 0
+    while done < len(rows):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + most, side="right")))
+        left, n = rows[done:stop], width[rows[done:stop]]
+        yield np.repeat(left, n), np.repeat(left + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        done = stop
+
+
 TILE = 512
 
 

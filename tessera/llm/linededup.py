@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: one occurrence of each group of equal or nearly equal lines stays.
 
 A line is normalised to its A-Z lower-cased words. Equal normalised lines form a class. Classes are linked if the
-SimHashes of their words differ in DISTANCE bits at most and the edit similarity of the normalised lines is SIMILAR or
+SimHashes of their words (each repeat of a word in a line a feature of its own, so that the bars of a menu don't make
+all menus alike) differ in DISTANCE bits at most and the edit similarity of the normalised lines is SIMILAR or
 more. Fingerprints are cut into five blocks; with three bits off, two blocks agree, so they meet on one of ten pairs
 of blocks. A first join compares fingerprints only and finds those that have a partner; texts are fetched for these
 alone, verified in tiles of bounded size (pairs already connected in a tile are not verified again), and connected
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, differing, majority_bits, tile_pairs, tiles
+from .common import Memo, components, cut, differing, majority_bits, numbered, pairs_of_runs, splitmix, tile_pairs, tiles
 
 DISTANCE = 3
 SIMILAR = 0.8
+KEYS = 1_000_000  # of fingerprints for each bucket
+LONGEST = 2048  # fingerprints of one key that a bucket compares by itself
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHIFTS = (0, 13, 26, 39, 52)
 _PAIRS = [(i, j) for i in range(5) for j in range(i + 1, 5)]
@@ -113,8 +116,9 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                             digest.append(xxhash.xxh128_digest(b" ".join(ws)))
                             words += ws
                             n.append(len(ws))
-                h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-                fp = majority_bits(h, np.array(n, dtype=np.int64)).view(np.int64)
+                lengths = np.array(n, dtype=np.int64)
+                h = numbered(np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words)), lengths)
+                fp = majority_bits(h, lengths).view(np.int64)
                 two = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(fp)], ["id", "t", "pos", "h1", "h2", "fp"])
@@ -123,14 +127,54 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.col(text).cast("binary")).mapInArrow(of, f"id {kind}, t long, pos int, h1 long, h2 long, fp long")
 
 
-def with_partner(prints: DataFrame) -> DataFrame:
-    """(key, fp) of distinct fingerprints that have another within DISTANCE at the key."""
+def with_partner(prints: DataFrame, count: int) -> DataFrame:
+    """(key, fp) of distinct fingerprints that have another within DISTANCE at the key.
+
+    Fingerprints go to buckets of keys in packed arrays. Keys with more fingerprints than a bucket should compare are
+    handed on and compared in tiles.
+    """
+    buckets = max(1, -(-10 * count // KEYS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            fp = np.concatenate(held)
+            held.clear()
+            for t, key in enumerate(pair_keys(fp).T):
+                to = (splitmix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                at = np.flatnonzero(np.diff(to[order], prepend=-1))
+                parts = np.split(fp[order], at[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(to[order][at], pa.int32()), pa.array([t] * len(at), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "t", "fps"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
-            k = pair_keys(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.full(k.size, 2, dtype=np.int32)), pa.array(np.repeat(fp, k.shape[1]))], ["key", "role", "fp"])
+            held.append(b.column(0).to_numpy())
+            if sum(map(len, held)) > 500_000:
+                yield from out()
+        if held and sum(map(len, held)):
+            yield from out()
+
+    def meet(x: pa.Table) -> pa.Table:
+        kinds = x["t"].to_numpy()
+        keys, fps, hot = [], [], []
+        for t in np.unique(kinds).tolist():
+            fp = np.frombuffer(b"".join(x["fps"][int(i)].as_py() for i in np.flatnonzero(kinds == t)), np.int64)
+            key = pair_keys(fp)[:, t]
+            order = np.argsort(key, kind="stable")
+            key, fp = key[order], fp[order]
+            found = np.zeros(len(fp), dtype=bool)
+            for left, right in pairs_of_runs(key, LONGEST):
+                ok = meets(key[left], fp[left], fp[right])
+                found[left[ok]] = found[right[ok]] = True
+            new = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            size = np.diff(np.append(new, len(key)))
+            many = np.repeat(size > LONGEST, size)
+            keep = found | many
+            keys.append(key[keep])
+            fps.append(fp[keep])
+            hot.append(many[keep])
+        return pa.table({"key": np.concatenate(keys), "fp": np.concatenate(fps), "hot": np.concatenate(hot)})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, left, right in tile_pairs(batches):
@@ -140,8 +184,10 @@ def with_partner(prints: DataFrame) -> DataFrame:
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(fp[rows])], ["key", "fp"])
 
-    rows = prints.select("fp").mapInArrow(keys, "key long, role int, fp long")
-    return tiles(rows, "blocks").mapInArrow(compare, "key long, fp long")
+    dealt = prints.select("fp").mapInArrow(deal, "bucket int, t int, fps binary")
+    met = cut(dealt.groupBy("bucket").applyInArrow(meet, "key long, fp long, hot boolean"), "met")
+    large = tiles(met.where("hot").select("key", F.lit(2).alias("role"), "fp"), "blocks").mapInArrow(compare, "key long, fp long")
+    return met.where("not hot").select("key", "fp").unionAll(large)
 
 
 def verified(rows: DataFrame) -> DataFrame:
@@ -182,7 +228,7 @@ def surplus_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     shared = prints.where("n > 1").select(F.shiftright("fp", 0).alias("fp"))  # different lines of one fingerprint
     low = lambda i: F.expr(f"shiftrightunsigned(fp, {_SHIFTS[i]})").bitwiseAND((1 << _WIDTHS[i]) - 1)
     first_key = F.call_function("shiftleft", low(0), F.lit(13)).bitwiseOR(low(1))
-    partners = cut(with_partner(prints).union(shared.select(first_key.alias("key"), "fp")).distinct(), "partners")
+    partners = cut(with_partner(prints, prints.count()).union(shared.select(first_key.alias("key"), "fp")).distinct(), "partners")
     wanted = cut(partners.join(classes.select("fp", "cid", "first"), "fp"), "wanted")
 
     # The texts of these lines alone, from the documents where they stand first.

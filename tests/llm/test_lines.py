@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tessera.llm import linededup as L
-from tessera.llm.common import majority_bits
+from tessera.llm.common import majority_bits, numbered
 
 
 def slow_distance(a, b):
@@ -34,7 +34,10 @@ def brute(docs):
             if line.split():
                 places.append((i, p, L.normalised(line)))
     classes = sorted({x for _, _, x in places})
-    prints = [int(majority_bits(np.array([xxhash.xxh64_intdigest(w, 7) for w in c.split()], dtype=np.uint64), np.array([len(c.split())]))[0]) for c in classes]
+    prints = []
+    for c in classes:
+        n = np.array([len(c.split())])
+        prints.append(int(majority_bits(numbered(np.array([xxhash.xxh64_intdigest(w, 7) for w in c.split()], dtype=np.uint64), n), n)[0]))
     root = list(range(len(classes)))
 
     def find(x):
@@ -54,8 +57,9 @@ def brute(docs):
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in docs}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,longest", [(1, 2048), (2, 1)])
+def test_against_brute_force(spark, seed, longest, monkeypatch):
+    monkeypatch.setattr(L, "LONGEST", longest)
     rng = random.Random(seed)
     words = ["w%d" % i for i in range(60)]
     base = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(25)]
@@ -70,6 +74,7 @@ def test_against_brute_force(spark, seed):
             if rng.random() < 0.2:
                 lines.append("")
         docs.append((i * 3, "\n".join(lines)))
+    docs += [(900 + i, " | ".join(rng.choices(words, k=6))) for i in range(20)]
     docs += [(1000, None), (1001, ""), (1002, "\n\n"), (1003, base[0] + "\n" + base[0].upper() + "\n\n" + base[0])]
     df = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, n_lines int").repartition(3)
     got = L.dedup_lines(df).collect()
@@ -79,3 +84,13 @@ def test_against_brute_force(spark, seed):
 
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeats_do_not_outweigh_the_rest():
+    import numpy as np
+
+    bar = np.uint64(2**64 - 1)
+    h = np.array([bar, 1, bar, 2, bar, 5, bar, 7, 7], dtype=np.uint64)
+    out = numbered(h, np.array([4, 5]))
+    assert out[0] == out[4] == bar and len(set(out[:4].tolist())) == 4 and len(set(out[4:].tolist())) == 5
+    assert out[2] == out[6] and numbered(h[:0], np.array([0])).tolist() == []
