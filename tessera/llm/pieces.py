@@ -24,7 +24,7 @@ from .common import Memo
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 SLICE = 128
-REMEMBERED = 100_000  # stretches, in each task
+REMEMBERED = 500_000  # stretches, in each task
 
 
 class Vocabulary:
@@ -39,12 +39,13 @@ class Vocabulary:
         self.pieces = {p.piece: (i, p.score) for i, p in enumerate(model.pieces) if p.type in (1, 4)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.unknown = next((i for i, p in enumerate(model.pieces) if p.type == 2), 0)
-        self.trie: dict = {}
+        self.trie: dict[str, list] = {}  # by letter: [the next letters, id or -1, score]
         for p, hit in self.pieces.items():
-            node = self.trie
+            letters = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[None] = hit
+                node = letters.setdefault(c, [{}, -1, 0.0])
+                letters = node[0]
+            node[1:] = hit
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - 10
         self.longest = max(map(len, self.pieces), default=1)
         self.prefix = SPACE if model.normalizer_spec.add_dummy_prefix else ""
@@ -72,15 +73,15 @@ class Vocabulary:
             nonlocal at
             while at < len(text) and (last or at + longest <= len(text)):
                 score, single = best[at], False
-                node = self.trie
+                letters = self.trie
                 for n in range(1, min(longest, len(text) - at) + 1):
-                    node = node.get(text[at + n - 1])
+                    node = letters.get(text[at + n - 1])
                     if node is None:
                         break
-                    hit = node.get(None)
-                    if hit is not None:
+                    letters, piece, gain = node
+                    if piece >= 0:
                         single |= n == 1
-                        put(at + n, score + hit[1], at, hit[0])
+                        put(at + n, score + gain, at, piece)
                 if not single:
                     put(at + 1, score + self.unknown_score, at, -1)
                 at += 1
@@ -133,18 +134,22 @@ class Vocabulary:
         trie, low = self.trie, self.unknown_score
         for i, c in enumerate(text):
             score, node, end = best[i], trie.get(c), i + 1
-            hit = node.get(None) if node is not None else None
-            gain = score + (hit[1] if hit else low)
+            if node is None:
+                if score + low > best[end]:
+                    best[end], back[end], ids[end] = score + low, i, -1
+                continue
+            letters, piece, gain = node
+            gain = score + (gain if piece >= 0 else low)
             if gain > best[end]:
-                best[end], back[end], ids[end] = gain, i, hit[0] if hit else -1
-            while node is not None and end < n:
-                node = node.get(text[end])
+                best[end], back[end], ids[end] = gain, i, piece
+            while letters and end < n:
+                node = letters.get(text[end])
+                if node is None:
+                    break
                 end += 1
-                if node is not None and None in node:
-                    piece, gain = node[None]
-                    gain += score
-                    if gain > best[end]:
-                        best[end], back[end], ids[end] = gain, i, piece
+                letters, piece, gain = node
+                if piece >= 0 and score + gain > best[end]:
+                    best[end], back[end], ids[end] = score + gain, i, piece
         out: list[int] = []
         while n:
             i = back[n]
