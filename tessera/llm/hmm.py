@@ -1,7 +1,7 @@
 """Hidden Markov language model: Baum-Welch counts over all training texts, exact likelihood by scaled forward recursion.
 
-A text is its words and one end token. The STATES hidden states emit classes: each of the FREQUENT commonest tokens is
-a class of its own, all other words are classed by their last three bytes (SUFFIXES classes). A word of such a class
+A text is its words and one end token. The STATES hidden states emit classes: each of the commonest tokens, FREQUENT
+at most, is a class of its own, all other words are classed by their last three bytes (SUFFIXES classes). A word of such a class
 has probability (c + 1) / (C + V + 1) in it, c its count, C and V the class's tokens and distinct words in the training
 texts, an unknown word c = 0. So the model's tables are bounded however large the vocabulary is; the vocabulary itself,
 with its counts, stays a table that grows with the corpus and is joined.
@@ -252,11 +252,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sta
     docs = docs.select(id_col, text, (id_hash(F.col(id_col)) % 7 == 2).alias("held_out"))
     counts = cut(count_words(docs.where("not held_out"), text), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(frequent).collect()  # at most `frequent` rows
+    # The frequent words are those of the highest classes of counts, as many classes as hold at most `frequent` words.
+    level = F.floor(F.log2("c") * 64)
+    edge, have = None, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # at most 64 * 63 rows
+        have += r.n
+        if have > frequent:
+            break
+        edge = r.level
+    top = sorted(counts.where(level >= edge).collect(), key=lambda r: (-r.c, r.w)) if edge is not None else []  # at most `frequent` rows
     classes = Classes({bytes(r.w): i for i, r in enumerate(top)}, np.array([r.c for r in top], dtype=np.float64), total, distinct)
-    # The words that are not frequent, and their classes' sums. The bound lies between two ranks, so no word counts twice.
-    edge = (top[-1].c, bytes(top[-1].w)) if top else None
-    others = counts.where((F.col("c") < edge[0]) | ((F.col("c") == edge[0]) & (F.col("w") > F.lit(bytearray(edge[1]))))) if len(top) == frequent else counts.limit(0)
+    others = counts.where(level < edge) if edge is not None else counts
     suffix = lambda w: (F.crc32(F.substring(w, -3, 3)) % SUFFIXES).cast("int")
     sums = others.groupBy(suffix(F.col("w")).alias("suffix")).agg(F.sum("c").alias("cs"), F.count("c").alias("vs")).collect()  # at most SUFFIXES rows
     mass = np.zeros(SUFFIXES)
