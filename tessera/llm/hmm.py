@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, id_hash
+from .common import Memo, cut, id_hash, sampled
 
 STATES = 8
 FREQUENT = 30_000
@@ -275,7 +275,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sta
 
     rows = cut(encode(docs, classes, id_col, text).withColumn("row", F.monotonically_increasing_id()), "encoded")
     learn = rows.where("not held_out")
-    sample = learn.select("ids", "row").orderBy(F.xxhash64("row"), "row").limit(START_TEXTS).select("ids").collect()
+    sample = sampled(learn.select("ids", "row"), START_TEXTS, learn.count(), "row").select("ids").collect()
     m = starting_values([bytes(r.ids) for r in sample], prior, states)
     for _ in range(rounds if total else 0):
         m = baum_welch(learn, m, prior)

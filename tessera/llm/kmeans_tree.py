@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sampled
 
 SAMPLE = 16_384
 LEAF_ROWS = 384
@@ -141,10 +141,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     empty = "query_id long, rank int, vec_id long, score double"
     base = usable(df, id_col, vec)
     asked = cut(usable(queries, id_col, vec).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    picked = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    total = base.count()
-    if not total or asked.isEmpty():
+    total, n_calls = base.count(), asked.count()
+    if not total or not n_calls:
         return spark.createDataFrame([], empty)
+    picked = sampled(base.withColumn("_row", F.monotonically_increasing_id()), SAMPLE, total, "_row").toPandas()
     tree = grow(unit(stack(picked.v)), total)
     sent = spark.sparkContext.broadcast(tree)  # fitted on the sample: at most SAMPLE / BRANCHES centres
 
@@ -158,7 +158,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     count = {r.leaf: r.n for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each leaf of the tree
 
     # Calibration: exact neighbours of a bounded set of queries, by blocks over all rows.
-    few = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).toPandas()
+    few = sampled(asked, CALIBRATION, n_calls, "vec_id").toPandas()
     cq, cid = stack(few.v), few.vec_id.to_numpy()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +196,6 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
             yield pd.DataFrame({"vec_id": np.repeat(b.vec_id.to_numpy(), n), "v": np.repeat(b.v.to_numpy(), n), "leaf": np.concatenate(bins).astype(np.int64)})
 
     calls = asked.mapInPandas(visit, f"vec_id long, v {kind}, leaf long")
-    n_calls = asked.count()
     blocks = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-n_calls // (2 * BLOCK))) for leaf, n in count.items()], "leaf long, nr int, nq int")
     spread = lambda df, own, other: df.join(F.broadcast(blocks), "leaf").withColumn(own[0], F.pmod(F.xxhash64("vec_id", *own[2]), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).select("leaf", "br", "bq", "vec_id", "v")
     left = spread(calls, ("bq", "nq", ()), ("br", "nr"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, id_hash
+from .common import Memo, id_hash, sampled
 
 BITS = 18
 #: The most labelled rows a model is fitted on: those with the smallest hash of the id.
@@ -135,10 +135,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents. Null ids and labels are left out; of several labels for an id the least counts."""
-    known = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_y"))
-        .orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    )
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_y"))
+    known = sampled(known, sample, known.count(), id_col)
     # At most `sample` rows go to every executor, and as many rows of features come back.
     picked = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(known), id_col).select(id_col, "_y", "_text")
 
