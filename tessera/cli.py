@@ -51,8 +51,8 @@ def show(df: DataFrame, out: TextIO, style: str = "table", header: bool = True)
 
 
 class Shell:
-    def __init__(self, spark: SparkSession, path: str, style: str = "table", header: bool = True, timer: bool = False, out: TextIO = sys.stdout):
-        self.db, self.style, self.header, self.timer, self.out = Database(spark, path), style, header, timer, out
+    def __init__(self, spark: SparkSession, path: str, style: str = "table", header: bool = True, timer: bool = False, out: TextIO | None = None):
+        self.db, self.style, self.header, self.timer, self.out = Database(spark, path), style, header, timer, out or sys.stdout
 
     def run(self, statement: str) -> bool:
         """Run one statement or command; False once the shell should end."""

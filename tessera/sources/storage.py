@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def verify(spark: SparkSession, path: str) -> dict[str, int]:
     files = Files(spark, path)
     try:
         found = fingerprint(read(spark, path, check=True))
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise Corrupt(f"{path}: {str(e).splitlines()[0]}") from e
     if files.exists(MANIFEST) and (want := json.loads(files.read(MANIFEST))) != found:
         raise Corrupt(f"{path}: manifest {want}, found {found}")
