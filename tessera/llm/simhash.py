@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, differing, forest, hex64, majority_bits, splitmix, tile_pairs, tiles
+from .common import Memo, components, cut, differing, forest, hex64, majority_bits, splitmix, tile_pairs, tiles
 
 DISTANCE = 3
 
@@ -146,93 +146,158 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return own.join(of_print, "fp").select(id_col, hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Similar documents: words of the wide fingerprint, bits that may differ of 256 (an estimated Jaccard similarity of
-#: 0.73: three quarters of the pairs at 0.8 and nearly all from 0.85 on differ in less), shingles and parts of a partial one.
+#: Similar documents: their Jaccard similarity over sets of shingles, as a fraction.
+SIMILAR = (4, 5)
+#: Words of the wide fingerprint and the bits of its 256 that may differ before the sets are compared. It only spares
+#: comparisons: pairs at 0.8 differ in 39 bits on average in long texts (standard deviation 6), in 48 for 4 shingles inside
+#: 5, so texts of FEW shingles have a wider bound.
 WIDE = 4
-WIDE_DISTANCE = 46
+WIDE_DISTANCE = 72
+FEW, FEW_DISTANCE = 16, 90
+#: Shingles up to which a text's keys are a prefix of its shingles, which no pair at SIMILAR escapes; shingles and parts of a partial print.
+PREFIX = 240
 PART_SHINGLES = 4
 PARTS = 24
 _WIDE_BITS = ", ".join(f"f{i} long" for i in range(WIDE))
 
 
-def partial_prints(h: np.ndarray) -> np.ndarray:
-    """Fingerprints of parts of a document's distinct shingle hashes, which are equal where no shingle of a part differs.
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two arrays of distinct shingles is SIMILAR or more; empty ones are alike."""
+    top, base = SIMILAR
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return base * both >= top * (len(a) + len(b) - both)
 
-    The shingles are dealt to 2**k parts by their hash, for the two k around PART_SHINGLES in a part, so documents of
-    nearly equal sizes have a k in common; of each k the first PARTS parts are kept.
+
+def candidate_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a document's distinct shingle hashes, sorted; documents at SIMILAR share one.
+
+    Of n shingles in a common order, the first n - ceil(0.8 n) + 1 hold one in common with any similar set. Longer
+    texts have partial prints instead, which are equal where no shingle of a part differs: the shingles are dealt to
+    2**k parts by their hash, for the two k around PART_SHINGLES in a part, so documents of nearly equal sizes have a k
+    in common; of each k the first PARTS parts are kept. Sizes at which a similar text may be on either side have both.
     """
-    h = np.unique(h)
-    if not len(h):
-        return np.zeros(0, dtype=np.int64)
+    top, base = SIMILAR
     out = []
-    low = max(0, int(np.floor(np.log2(max(len(h) / PART_SHINGLES, 1)))))
-    for k in (low, low + 1):
-        part = splitmix(h) & np.uint64((1 << k) - 1)
-        mine, p = h[part < PARTS], part[part < PARTS].astype(np.int64)
-        order = np.argsort(p, kind="stable")
-        at = np.flatnonzero(np.diff(p[order], prepend=-1))
-        if not len(at):
-            continue
-        sums = np.add.reduceat(splitmix(mine[order] ^ np.uint64(k)), at)
-        enough = np.diff(np.append(at, len(p))) > 1 if k else np.ones(1, dtype=bool)
-        out.append(splitmix(sums + p[order][at].astype(np.uint64))[enough])
+    if 0 < len(h) <= PREFIX:
+        out.append(splitmix(h[: len(h) - -(-top * len(h) // base) + 1] ^ np.uint64(0x5E7)))
+    if base * len(h) >= top * PREFIX:
+        low = max(0, int(np.floor(np.log2(max(len(h) / PART_SHINGLES, 1)))))
+        for k in (low, low + 1):
+            part = splitmix(h) & np.uint64((1 << k) - 1)
+            mine, p = h[part < PARTS], part[part < PARTS].astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            at = np.flatnonzero(np.diff(p[order], prepend=-1))
+            if len(at):
+                sums = np.add.reduceat(splitmix(mine[order] ^ np.uint64(k)), at)
+                out.append(splitmix(sums + p[order][at].astype(np.uint64)))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def wide_prints(docs: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(id, f0 to f3, parts) for every row: four SimHashes of the shingles and the partial fingerprints."""
+def wide_prints(docs: DataFrame, id_col: str, text: str, n: int, sets: bool = False) -> DataFrame:
+    """(id, s1 and s2: a digest of the set of shingles, n: its size, f0 to f3, keys) for every row.
+
+    The four SimHashes count each distinct shingle once. With `sets`, the shingles themselves stand in place of the keys.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 b = whole.slice(start, 200)
-                held = [np.array(shingle_hashes(t.as_py() or b"", n), dtype=np.uint64) for t in b.column(1)]
+                held = [np.unique(np.array(shingle_hashes(t.as_py() or b"", n), dtype=np.uint64)) for t in b.column(1)]
                 h, lengths = np.concatenate(held), np.array([len(x) for x in held], dtype=np.int64)
+                digest = np.frombuffer(b"".join(xxhash.xxh128_digest(x.tobytes()) for x in held), dtype="<i8").reshape(-1, 2)
                 prints = [majority_bits(h if not i else splitmix(h + np.uint64(i)), lengths).view(np.int64) for i in range(WIDE)]
-                parts = [partial_prints(x) for x in held]
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, prints), pa.array(parts, pa.list_(pa.int64()))], ["id", *(f"f{i}" for i in range(WIDE)), "parts"])
+                last = pa.array([x.tobytes() for x in held], pa.binary()) if sets else pa.array([candidate_keys(x) for x in held], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(lengths), *map(pa.array, prints), last], ["id", "s1", "s2", "n", *(f"f{i}" for i in range(WIDE)), "shingles" if sets else "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(of, f"id {kind}, {_WIDE_BITS}, parts array<long>")
+    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(of, f"id {kind}, s1 long, s2 long, n long, {_WIDE_BITS}, {'shingles binary' if sets else 'keys array<long>'}")
 
 
-def similar_links(prints: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest, by tile, of the links within WIDE_DISTANCE among distinct prints that share a part."""
+def near_pairs(t: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a tile that sizes and wide prints do not rule out."""
+    node, n = t["node"].to_numpy(), t["n"].to_numpy()
+    top, base = SIMILAR
+    ok = (base * np.minimum(n[left], n[right]) >= top * np.maximum(n[left], n[right])) & (node[left] != node[right])
+    left, right = left[ok], right[ok]
+    bits = np.zeros(len(left), dtype=np.int64)
+    for i in range(WIDE):
+        f = t[f"f{i}"].to_numpy()
+        bits += differing(f[left], f[right])
+    ok = bits <= np.where(n[left] <= FEW, FEW_DISTANCE, WIDE_DISTANCE)
+    return left[ok], right[ok]
+
+
+def candidate_links(prints: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest, by tile, of the pairs of prints that share a key and may be similar."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, left, right in tile_pairs(batches):
-            node, bits = t["node"].to_numpy(), np.zeros(len(left), dtype=np.int64)
-            for i in range(WIDE):
-                f = t[f"f{i}"].to_numpy()
-                bits += differing(f[left], f[right])
-            near = (bits <= WIDE_DISTANCE) & (node[left] != node[right])
-            x, y = forest(node[left][near], node[right][near])
+            node = t["node"].to_numpy()
+            left, right = near_pairs(t, left, right)
+            x, y = forest(node[left], node[right])
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    columns = [f"f{i}" for i in range(WIDE)]
-    rows = prints.select(F.explode(F.array_distinct("parts")).alias("key"), F.lit(2).alias("role"), "node", *columns)
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-parts")
-    return tiles(cut(rows.join(shared, "key"), "parts"), "parts").mapInArrow(compare, "a long, b long")
+    columns = ["n", *(f"f{i}" for i in range(WIDE))]
+    rows = prints.select(F.explode(F.array_distinct("keys")).alias("key"), F.lit(2).alias("role"), "node", *columns)
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared-keys")
+    return tiles(cut(rows.join(shared, "key"), "keys"), "keys").mapInArrow(compare, "a long, b long")
+
+
+def similar_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links of similarity SIMILAR or more that connect, by tile, what such links connect in a group of candidates.
+
+    rows: (key: the group, role, node, n, f0 to f3, shingles). Pairs already connected in a tile are not compared again.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, left, right in tile_pairs(batches):
+            node, sets = t["node"].to_numpy(), t["shingles"]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (p := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[p]
+                return x
+
+            read = Memo(lambda i: np.frombuffer(sets[i].as_buffer(), dtype="<u8"))
+            a, b = [], []
+            for i, j in zip(*map(np.ndarray.tolist, near_pairs(t, left, right))):
+                x, y = root(int(node[i])), root(int(node[j]))
+                if x != y and alike(read[i], read[j]):
+                    parent[max(x, y)] = min(x, y)
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return tiles(rows, "sets").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """docs without those that are not the smallest id of their group of near-duplicates.
 
-    Groups are connected by two kinds of links over n-word shingles: 64-bit fingerprints at most DISTANCE bits apart,
-    found at anchor points, and estimated similarities of about 0.8 or more. The second are needed since documents of
-    similarity 0.8 differ in nine bits of 64 on average, which no affordable replication to anchors covers; those that
-    share a partial fingerprint are compared by fingerprints of 256 bits. Rows with null ids stay; rows that repeat an
-    id are one document and stay or go together. Texts without words are copies of each other.
+    Groups are connected by links between documents whose sets of n-word shingles have a Jaccard similarity of 0.8 or
+    more. Candidates are found by 64-bit fingerprints at most DISTANCE bits apart, at anchor points, and by shared
+    keys; those that hang together form a group of candidates, in which the sets themselves are compared. Rows with
+    null ids stay; rows that repeat an id are one document and stay or go together. Texts without words are copies of
+    each other.
     """
-    columns = [f"f{i}" for i in range(WIDE)]
-    own = cut(wide_prints(docs.where(F.col(id_col).isNotNull()), id_col, text, n).withColumn("id", F.col("id").cast("long")), "wide")
-    prints = cut(own.groupBy(*columns).agg(F.min("id").alias("node"), F.first("parts").alias("parts")), "wide-prints")
+    docs_ = docs.where(F.col(id_col).isNotNull())
+    columns = ["s1", "s2"]
+    own = cut(wide_prints(docs_, id_col, text, n).withColumn("id", F.col("id").cast("long")), "wide")
+    prints = cut(own.groupBy(*columns).agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(WIDE)), "keys"))), "wide-prints")
     narrow = cut(prints.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("node")), "narrow")
     of = lambda c: narrow.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
     anchored = links(narrow).join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = prints.join(narrow.select(F.col("fp").alias("f0"), F.col("node").alias("b")), "f0").where("node <> b").select(F.col("node").alias("a"), "b")
-    roots = components(similar_links(prints).unionAll(anchored).unionAll(equal), "near").withColumnsRenamed({"node": "id", "root": "_root"})
+    candidates = components(candidate_links(prints).unionAll(anchored).unionAll(equal), "candidates").withColumnsRenamed({"node": "_node", "root": "_root"})
+    # The sets of these documents alone, made again from their texts.
+    wanted = docs_.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(candidates.select("_node"), F.col("_id") == F.col("_node"), "left_semi")
+    sets = wide_prints(wanted, "_id", "_text", n, sets=True).withColumnRenamed("id", "node").dropDuplicates(["node", *columns])
+    rows = cut(sets.join(candidates, F.col("node") == F.col("_node")).select(F.col("_root").alias("key"), F.lit(2).alias("role"), "node", "n", *(f"f{i}" for i in range(WIDE)), "shingles"), "sets")
+    roots = components(similar_links(rows), "near").withColumnsRenamed({"node": "id", "root": "_root"})
     least = own.join(prints.select(*columns, "node"), columns).select("id", "node").distinct()
     gone = least.join(roots.withColumnRenamed("id", "node"), "node", "left").where(F.coalesce("_root", "node") < F.col("id")).select(F.col("id").alias("_id")).distinct()
     return docs.join(cut(gone, "gone"), F.col(id_col) == F.col("_id"), "left_anti")

@@ -93,6 +93,23 @@ def test_keep_one_takes_similar_documents_and_leaves_others(spark):
     assert sorted(got, key=str) == sorted([i for i, _ in docs if i not in copies and i != 9002], key=str)
 
 
+def shingle_set(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_leaves_documents_that_share_one_repeated_shingle(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(["w%d" % j for j in range(5000)], k=rng.choice([80, 360, 1900])) + ["|"] * 200)) for i in range(40)]
+    assert max(jaccard(a, b) for (i, a), (j, b) in zip(docs, docs[1:])) < 0.2
+    assert simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).count() == 40
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
