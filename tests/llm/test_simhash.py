@@ -110,6 +110,29 @@ def test_keep_one_leaves_documents_that_share_one_repeated_shingle(spark):
     assert simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).count() == 40
 
 
+def test_keep_one_against_brute_force_around_the_bound(spark):
+    """Pairs of one size, and parts of a longer text, at similarities about 0.8; each of its own words."""
+    rng = random.Random(11)
+    docs, want, similar = [], [], 0
+    for i in range(600):
+        n = rng.choice([8, 9, 12, 16, 19, 24, 40, 64, 110, 200, 240, 280, 420])
+        words = ["%d-%d" % (i, j) for j in range(n)]
+        other = list(words)
+        if i % 2:
+            other = other[: rng.randint(int(0.76 * (n - 4)), int(0.86 * (n - 4)) + 1) + 4]
+        else:
+            for p in rng.sample(range(n), max(1, round(rng.uniform(0.015, 0.035) * n))):
+                other[p] = "changed-%d-%d" % (i, p)
+        a, b = " ".join(words), " ".join(other)
+        docs += [(2 * i, a), (2 * i + 1, b)]
+        near = 5 * len(shingle_set(a) & shingle_set(b)) >= 4 * len(shingle_set(a) | shingle_set(b))
+        similar += near
+        want += [2 * i] if near else [2 * i, 2 * i + 1]
+    assert 100 < similar < 500
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id").collect())
+    assert got == want
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
