@@ -6,10 +6,16 @@ hit the aligned words are compared: a document holds an item if some window of W
 whole item if it is shorter) has at least 80 % equal words. All masks keep their first and last word, so one look-up in
 a table of such word pairs rules most places out before any seed is made. Tables have fixed sizes; what passes them
 without being a seed is dropped by the join.
+
+These masks leave a seed whole for every pattern of changed words in a window of WINDOW words, but not in shorter
+items. Those have masks of their own over the whole item: it is cut into two blocks more than it may have changed
+words, and each pair of blocks is a mask.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +28,16 @@ SIMILAR = 0.8
 TABLE_BITS = 20  # of each bit table: 128 KB, whatever the benchmark's size
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over an item of n < WINDOW words; one at least stays whole if 80 % of the words are equal."""
+    wrong = n // 5
+    if not wrong:
+        return [tuple(range(n))]
+    edges = [n * b // (wrong + 2) for b in range(wrong + 3)]
+    blocks = [tuple(range(a, b)) for a, b in zip(edges, edges[1:])]
+    return [x + y for x, y in combinations(blocks, 2)]
+
+
 def word_hashes(text: Column) -> Column:
     """Hashes of the lower-cased words of a text, in order; none for null texts."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
@@ -59,9 +75,9 @@ def maybe(table: Column, hash_: Column) -> Column:
     return F.getbit(F.get(table, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1
 
 
-def places(n: Column) -> Column:
+def places(n: Column, span: int = SPAN) -> Column:
     """The starts of all spans in n words."""
-    return F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN)).otherwise(F.array().cast("array<int>"))
+    return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
 
 
 def around(h: Column, i: Column) -> Column:
@@ -69,6 +85,30 @@ def around(h: Column, i: Column) -> Column:
     return F.transform(F.sequence(F.lit(SPAN - WINDOW), F.lit(WINDOW - 1)), lambda j: F.when(i + j >= 0, at(h, F.greatest(i + j, F.lit(0)))))
 
 
+def find_short(docs: DataFrame, bench: DataFrame, id_col: str, text: str) -> DataFrame | None:
+    """(id, item) of the benchmark's items of fewer than WINDOW words that documents hold; None if it has no such items."""
+    bench = bench.where(F.col("n") < WINDOW)
+    lengths = sorted(r.n for r in bench.select("n").distinct().collect())  # fewer than WINDOW rows
+    if not lengths:
+        return None
+    ways = [(n, m, 100 * n + k) for n in lengths for k, m in enumerate(short_masks(n))]
+    own = F.filter(F.array(*(F.when(F.col("n") == n, seed(F.col("g"), F.lit(0), m, number)) for n, m, number in ways)), lambda h: h.isNotNull())
+    seeds = cut(bench.select("item", "n", F.col("g").alias("theirs"), F.explode(own).alias("h")), "short-seeds")
+    table = bit_table(seeds.select("h"))
+    d = F.col("d")
+    once = F.monotonically_increasing_id
+    found = lambda n, m, number: F.transform(F.filter(places(F.size(d), n), lambda i: maybe(table, seed(d, i, m, number))), lambda i: F.struct(seed(d, i, m, number).alias("h"), F.slice(d, i + 1, n).alias("ours")))
+    hits = (
+        docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text)).alias("d"), once().alias("m1"))
+        .select("id", "m1", F.explode(F.array_distinct(F.concat(*(found(*w) for w in ways)))).alias("x"))
+        .select("id", "m1", "x.h", "x.ours")
+        .where("m1 >= 0")
+    )
+    equal = F.aggregate(F.zip_with("ours", "theirs", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda c, x: c + x)
+    holds = (F.size("ours") == F.col("n")) & (equal >= F.ceil(F.col("n") * SIMILAR))
+    return hits.join(seeds, "h").where(holds).select("id", "item")
+
+
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, items): for each id whose text holds benchmark items, their sorted ids.
 
@@ -76,8 +116,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     rows that repeat a document id are joined in one answer; null ids are an id of their own. Empty tables give no rows.
     """
     bench = cut(items.select(F.col(item_col).alias("item"), word_hashes(F.col(text)).alias("g")).withColumn("n", F.size("g")).where(F.col("n") >= SPAN).distinct(), "bench")
+    short = find_short(docs, bench, id_col, text)
     g = F.col("g")
-    spans = bench.select("item", "n", "g", F.explode(places(F.col("n"))).alias("i"))
+    spans = bench.where(F.col("n") >= WINDOW).select("item", "n", "g", F.explode(places(F.col("n"))).alias("i"))
     ways = lambda h, i: [F.struct(F.lit(k).alias("k"), seed(h, i, m, k).alias("h")) for k, m in enumerate(MASKS)]
     i = F.col("i")
     seeds = cut(spans.select("item", "n", "i", ends(g, i).alias("e"), around(g, i).alias("theirs"), F.explode(F.array(*ways(g, i))).alias("s")).select("item", "n", "i", "e", "theirs", "s.h"), "seeds")
@@ -100,7 +141,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     equal = lambda s: F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0), lambda c, j: c + F.when(F.get("ours", s + j + base) == F.get("theirs", s + j + base), 1).otherwise(0))
     inside = lambda s: (i + s >= 0) & (i + s + length <= F.col("n")) & F.get("ours", s + base).isNotNull() & F.get("ours", s + base + length - 1).isNotNull()
     holds = F.exists(F.sequence(SPAN - length, F.lit(0)), lambda s: inside(s) & (equal(s) >= F.ceil(length * SIMILAR)))
-    return hits.join(seeds, "h").where(holds).groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumnRenamed("id", id_col)
+    held = hits.join(seeds, "h").where(holds).select("id", "item")
+    held = held if short is None else held.unionAll(short)
+    return held.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumnRenamed("id", id_col)
 
 
 def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """op1, op2, op4, op5, op8 and the pipeline."""
 
+import itertools
 import random
 import zlib
 from pathlib import Path
@@ -127,6 +128,20 @@ def test_op5_finds_items_with_substitutions_and_leaves_others(spark):
     assert decontam.mark(df.limit(0), bench).collect() == [] and len(decontam.decontaminate(df, bench.limit(0)).collect()) == len(docs)
 
 
+@pytest.mark.parametrize("lengths", [(10, 11, 12)])
+def test_op5_finds_every_pattern_of_changed_words_in_short_items(spark, lengths):
+    docs, want, items = [], {}, []
+    for n in lengths:
+        own = ["i%d-%d" % (n, j) for j in range(n)]
+        items.append((n, " ".join(own)))
+        for wrong in range(n // 5 + 2):
+            for places in itertools.combinations(range(n), wrong):
+                want[len(docs)] = [n] if 5 * (n - wrong) >= 4 * n else []
+                docs.append((len(docs), " ".join(["x", "y"] + ["changed" if j in places else w for j, w in enumerate(own)] + ["z"])))
+    got = {r.doc_id: r["items"] for r in decontam.mark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i for i in got if got[i] != want[i]} == set()
+
+
 def test_op8_law(spark):
     rows = hilbert.op8(spark, SF).collect()
     docs = {i: (t or "").encode() for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}
