@@ -112,10 +112,10 @@ def find_short(docs: DataFrame, bench: DataFrame, id_col: str, text: str) -> Dat
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, items): for each id whose text holds benchmark items, their sorted ids.
 
-    Items of fewer than SPAN words take no part, as do items with null texts. Repeated items with one id count once;
+    Items without words take no part, as do items with null texts; of items under five words all words must be equal. Repeated items with one id count once;
     rows that repeat a document id are joined in one answer; null ids are an id of their own. Empty tables give no rows.
     """
-    bench = cut(items.select(F.col(item_col).alias("item"), word_hashes(F.col(text)).alias("g")).withColumn("n", F.size("g")).where(F.col("n") >= SPAN).distinct(), "bench")
+    bench = cut(items.select(F.col(item_col).alias("item"), word_hashes(F.col(text)).alias("g")).withColumn("n", F.size("g")).where(F.col("n") > 0).distinct(), "bench")
     short = find_short(docs, bench, id_col, text)
     g = F.col("g")
     spans = bench.where(F.col("n") >= WINDOW).select("item", "n", "g", F.explode(places(F.col("n"))).alias("i"))

@@ -128,7 +128,7 @@ def test_op5_finds_items_with_substitutions_and_leaves_others(spark):
     assert decontam.mark(df.limit(0), bench).collect() == [] and len(decontam.decontaminate(df, bench.limit(0)).collect()) == len(docs)
 
 
-@pytest.mark.parametrize("lengths", [(10, 11, 12)])
+@pytest.mark.parametrize("lengths", [(10, 11, 12), tuple(range(1, 10))])
 def test_op5_finds_every_pattern_of_changed_words_in_short_items(spark, lengths):
     docs, want, items = [], {}, []
     for n in lengths:
