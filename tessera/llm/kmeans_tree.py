@@ -2,9 +2,10 @@
 
 The tree is fitted on a bounded sample (SAMPLE vectors); every row is then assigned to its leaf. A query walks the tree
 through a priority queue of nodes ordered by cosine to their centres and visits leaves in that order. How many leaves
-is calibrated: for CALIBRATION queries the exact neighbours are found by blocks over all rows, and visits widen until
-the share of them found reaches TARGET. Rows and queries of a leaf meet in blocks of bounded size, so a leaf of any size
-is spread over tasks; scores are cosines of the original vectors in double precision.
+is calibrated, at every table size: for CALIBRATION queries the exact neighbours are found by blocks over all rows, and
+visits widen until the share of them found reaches TARGET. Neighbouring leaves make bundles of bounded size (a larger
+leaf is dealt to several), queries are sent once to each bundle that holds a leaf they visit, and a bundle keeps the
+running k nearest of a query over all its leaves. Scores are cosines of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,9 @@ CALIBRATION = 256
 TARGET = 0.96
 BLOCK = 512
 K = 5
+QUERIES = 4096  # that share one copy of a bundle
+BUNDLE_BYTES = 32 << 20  # of vectors in doubles
+BUNDLES, MIN_ROWS = 32, 64  # bundles of small tables, and their least rows
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,7 +81,17 @@ class Tree:
             todo += [(kids[j], rows[best == j]) for j in range(len(kids)) if (best == j).any()]
         return out
 
-    def best_bins(self, near: np.ndarray, most: int, rows: dict[int, int], least_rows: int) -> list[int]:
+    def in_order(self) -> list[int]:
+        """Leaves from left to right."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            todo += self.children[node][::-1]
+            if not self.children[node]:
+                out.append(node)
+        return out
+
+    def best_bins(self, near: list[float], most: int, rows: dict[int, int], least_rows: int) -> list[int]:
         """Leaves in best-bin-first order, at least `most` of them and as many as hold `least_rows` rows. near: cosine to each node."""
         queue, out, seen = [(0.0, 0)], [], 0
         while queue and (len(out) < most or seen < least_rows):
@@ -119,42 +134,60 @@ def grow(sample: np.ndarray, total: int, leaf_rows: int = LEAF_ROWS, branches: i
 
 
 def usable(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """(vec_id, v) of vectors that take part: not null, not zero, all components finite, of the commonest dimension."""
+    """(vec_id, v) of vectors that take part: not null, not zero, all components finite."""
     v = F.col(vec)
-    ok = df.where(v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    sizes = ok.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return ok.where(F.size(v) == (sizes.n if sizes else 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    ok = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec: str = "embedding", target: float = TARGET) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each query, both given as (id, vector).
-
-    Rows with the query's own id are no candidates. Vectors that are null, zero, of another dimension or hold null or
-    non-finite components take no part, as queries or candidates. Rows that repeat an id are separate candidates; a
-    repeated query id counts once. Empty tables give no rows. Up to 4,096 rows every leaf is visited.
-    """
-    spark = df.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
-    base = usable(df, id_col, vec)
-    asked = cut(usable(queries, id_col, vec).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    """Vectors in doubles, each scaled by a power of two to a largest component under one, which leaves cosines as they are."""
+    x = np.stack(column.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+class Nearest:
+    """A running list of each query's k nearest."""
+
+    def __init__(self, k: int, most: int = 500_000):
+        self.k, self.most, self.parts, self.held = k, most, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """columns: query id, vector id, score, and others."""
+        self.parts.append(columns)
+        self.held += len(columns[0])
+        if self.held > self.most:
+            best = self.best()
+            self.parts, self.held = [best], 0
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(x) for x in zip(*self.parts)]
+        order = np.lexsort((columns[1], -columns[2], columns[0]))
+        columns = [c[order] for c in columns]
+        q = columns[0]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        return tuple(c[keep] for c in columns)
+
+
+def search_one(base: DataFrame, asked: DataFrame, k: int, target: float, kind: str) -> DataFrame | None:
+    """search() among vectors (vec_id, v) of one dimension; asked: written, one row for each id."""
+    spark = base.sparkSession
+    # Of equal vectors the k + 1 smallest ids decide all answers, so no vector has more rows than these.
+    same = Window.partitionBy("v").orderBy("vec_id")
+    base = cut(base.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k + 1).drop("_n"), "vectors")
     total, n_calls = base.count(), asked.count()
     if not total or not n_calls:
-        return spark.createDataFrame([], empty)
-    picked = sampled(base.withColumn("_row", F.monotonically_increasing_id()), SAMPLE, total, "_row").toPandas()
+        return None
+    picked = sampled(base, SAMPLE, total, "vec_id", "v").toPandas()
     tree = grow(unit(stack(picked.v)), total)
-    sent = spark.sparkContext.broadcast(tree)  # fitted on the sample: at most SAMPLE / BRANCHES centres
+    sent = spark.sparkContext.broadcast(tree)  # fitted on the sample: at most SAMPLE centres
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 yield b.assign(leaf=sent.value.assign(unit(stack(b.v))))
 
-    kind = df.schema[vec].dataType.simpleString()
-    rows = cut(base.mapInPandas(leaves, f"vec_id long, v {kind}, leaf long"), "leaves")
+    rows = cut(base.mapInPandas(leaves, f"vec_id long, v {kind}, leaf long").withColumn("spot", F.monotonically_increasing_id()), "leaves")
     count = {r.leaf: r.n for r in rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each leaf of the tree
 
     # Calibration: exact neighbours of a bounded set of queries, by blocks over all rows.
@@ -162,59 +195,108 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
     cq, cid = stack(few.v), few.vec_id.to_numpy()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best = Nearest(k)
         for b in batches:
             for i in range(0, len(b), 8 * BLOCK):
                 part = b.iloc[i : i + 8 * BLOCK]
-                a, c, s = block_top(cid, cq, part.vec_id.to_numpy(), stack(part.v), k)
-                got = pd.DataFrame({"query_id": cid[a], "vec_id": part.vec_id.to_numpy()[c], "leaf": part.leaf.to_numpy()[c], "score": s})
-                best = got if best is None else pd.concat([best, got]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+                vid = part.vec_id.to_numpy()
+                a, c, s = block_top(cid, cq, vid, stack(part.v), k)
+                best.add(cid[a], vid[c], s, part.leaf.to_numpy()[c])
+        if best.parts:
+            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "leaf"), best.best())))
 
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    truth = rows.mapInPandas(exact, "query_id long, vec_id long, leaf long, score double").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).toPandas()
-    near = unit(cq) @ tree.centres.T
-    n_leaves = len(count)
+    truth = rows.mapInPandas(exact, "query_id long, vec_id long, score double, leaf long").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).toPandas()
+    near = (unit(cq) @ tree.centres.T).tolist()
     place = {int(c): {leaf: i for i, leaf in enumerate(tree.best_bins(near[j], len(tree.children), count, 0))} for j, c in enumerate(cid)}
     needed = np.array([place[q][leaf] + 1 for q, leaf in zip(truth.query_id, truth.leaf)], dtype=np.int64)
     visits = 1
     while visits < len(tree.children) and len(needed) and (needed <= visits).mean() < target:
         visits += 1
-    if total <= 4096:
-        visits = len(tree.children)
-    visits = max(visits, 1 if n_leaves else 0)
+
+    # Leaves that stand together in the tree make a bundle; a leaf larger than a bundle is dealt to several.
+    most = max(1, min(BUNDLE_BYTES // (8 * tree.centres.shape[1]), max(MIN_ROWS, -(-total // BUNDLES))))
+    spread: dict[int, tuple[int, int]] = {}  # by leaf: first bundle, number of bundles
+    bundle, held = 0, 0
+    for leaf in tree.in_order():
+        n = count.get(leaf, 0)
+        if held and held + n > most:
+            bundle, held = bundle + 1, 0
+        parts = max(1, -(-n // most))
+        spread[leaf] = (bundle, parts)
+        bundle, held = (bundle + parts, 0) if parts > 1 else (bundle, held + n)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = sent.value
         for b in batches:
             if not len(b):
                 continue
-            close = unit(stack(b.v)) @ t.centres.T
-            bins = [[x for x in t.best_bins(c, visits, count, 64 * k) if x in count] for c in close]
-            n = [len(x) for x in bins]
-            yield pd.DataFrame({"vec_id": np.repeat(b.vec_id.to_numpy(), n), "v": np.repeat(b.v.to_numpy(), n), "leaf": np.concatenate(bins).astype(np.int64)})
-
-    calls = asked.mapInPandas(visit, f"vec_id long, v {kind}, leaf long")
-    blocks = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-n_calls // (2 * BLOCK))) for leaf, n in count.items()], "leaf long, nr int, nq int")
-    spread = lambda df, own, other: df.join(F.broadcast(blocks), "leaf").withColumn(own[0], F.pmod(F.xxhash64("vec_id", *own[2]), F.col(own[1])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1))).select("leaf", "br", "bq", "vec_id", "v")
-    left = spread(calls, ("bq", "nq", ()), ("br", "nr"))
-    right = spread(rows, ("br", "nr", (F.col("v"),)), ("bq", "nq"))
+            at, bundles, leaves = [], [], []
+            for i, c in enumerate((unit(stack(b.v)) @ t.centres.T).tolist()):
+                to: dict[int, list[int]] = {}
+                for leaf in t.best_bins(c, visits, count, 64 * k):
+                    if leaf in count:
+                        first, parts = spread[leaf]
+                        for j in range(first, first + parts):
+                            to.setdefault(j, []).append(leaf)
+                at += [i] * len(to)
+                bundles += to
+                leaves += to.values()
+            yield pd.DataFrame({"vec_id": b.vec_id.to_numpy()[at], "v": b.v.to_numpy()[at], "bundle": np.array(bundles, dtype=np.int64), "leaves": leaves})
+
+    tasks = max(min(2 * BUNDLES, n_calls), -(-n_calls // QUERIES))
+    calls = cut(asked.repartition(tasks).mapInPandas(visit, f"vec_id long, v {kind}, bundle long, leaves array<long>"), "visits")
+    # A bundle is copied once for each QUERIES queries that visit it.
+    blocks = {r.bundle: -(-r.n // QUERIES) for r in calls.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each bundle
+    asks = spark.createDataFrame(list(blocks.items()), "bundle long, nq long")
+    homes = spark.createDataFrame([(leaf, *x) for leaf, x in spread.items()], "leaf long, first long, parts long")
+    left = calls.join(F.broadcast(asks), "bundle").select("bundle", F.pmod(F.xxhash64("vec_id"), F.col("nq")).alias("bq"), "vec_id", "v", "leaves")
+    right = rows.join(F.broadcast(homes), "leaf").select((F.col("first") + F.pmod("spot", F.col("parts"))).alias("bundle"), "vec_id", "v", "leaf")
+    right = right.join(F.broadcast(asks), "bundle").select("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("bq"), "vec_id", "v", "leaf")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        best = Nearest(k)
         if len(a) and len(b):
-            vid, v = b.vec_id.to_numpy(), stack(b.v)
-            for i in range(0, len(a), 2 * BLOCK):
-                part = a.iloc[i : i + 2 * BLOCK]
-                qid = part.vec_id.to_numpy()
-                x, y, s = block_top(qid, stack(part.v), vid, v, k)
-                out.append(pd.DataFrame({"query_id": qid[x], "vec_id": vid[y], "score": s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    key = ["leaf", "br", "bq"]
+            b = b.sort_values("leaf", kind="stable")
+            qid, q, vid, v, leaf = a.vec_id.to_numpy(), stack(a.v), b.vec_id.to_numpy(), stack(b.v), b.leaf.to_numpy()
+            n = a.leaves.map(len).to_numpy()
+            wants = np.concatenate(a.leaves.to_numpy())
+            order = np.argsort(wants, kind="stable")
+            wants, who = wants[order], np.repeat(np.arange(len(a)), n)[order]
+            for x in np.unique(leaf).tolist():
+                i, j = np.searchsorted(leaf, (x, x + 1))
+                own = who[slice(*np.searchsorted(wants, (x, x + 1)))]
+                step = max(1, 4_000_000 // (j - i))
+                for s in range(0, len(own), step):
+                    part = own[s : s + step]
+                    y, z, score = block_top(qid[part], q[part], vid[i:j], v[i:j], k)
+                    best.add(qid[part][y], vid[i:j][z], score)
+        out = best.best() if best.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out)))
+
+    key = ["bundle", "bq"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    return found.where("score > -3").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec: str = "embedding", target: float = TARGET) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows found for each query, both given as (id, vector).
+
+    Rows with the query's own id are no candidates. Vectors that are null, zero or hold null or non-finite components
+    take no part, as queries or candidates, nor do rows with a null id. Vectors of several dimensions are searched each
+    among those of its own dimension, one dimension after the other. Rows that repeat an id are separate candidates; a
+    repeated query id counts once, by its least vector. Empty tables give no rows. Extra columns are ignored.
+    """
+    spark = df.sparkSession
+    base = usable(df, id_col, vec)
+    asked = cut(usable(queries, id_col, vec).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    found = []
+    for r in sorted(asked.select(F.size("v").alias("n")).distinct().collect()):  # the dimensions of the queries, one as a rule
+        of = lambda x: x.where(F.size("v") == r.n)
+        one = search_one(of(base), of(asked), k, target, df.schema[vec].dataType.simpleString())
+        if one is not None:
+            found.append(one)
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
 def op2(spark: SparkSession, sf: str) -> DataFrame:

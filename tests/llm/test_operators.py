@@ -57,15 +57,19 @@ def exact(ids, v, queries, k):
     return out
 
 
-def test_op2_recall_and_scores(spark, monkeypatch):
+@pytest.mark.parametrize("spread,n", [(0.6, 6000), (0.6, 900), (None, 5000)])
+def test_op2_recall_and_scores(spark, spread, n):
+    """Clustered and unclustered vectors, in tables larger and smaller than the fitting sample's leaves."""
     rng = np.random.default_rng(4)
-    centres = rng.normal(size=(40, 16))
-    v = (centres[rng.integers(0, 40, 6000)] + 0.6 * rng.normal(size=(6000, 16))).astype(np.float32)
-    ids = rng.permutation(6000).tolist()
+    v = rng.normal(size=(n, 16))
+    if spread:
+        v = rng.normal(size=(40, 16))[rng.integers(0, 40, n)] + spread * v
+    v = v.astype(np.float32)
+    ids = rng.permutation(n).tolist()
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in zip(ids, v)], "vec_id long, embedding array<float>, rank int").repartition(4)
     got = kmeans_tree.search(df, df.where("vec_id % 50 = 0")).collect()
     d = v.astype(np.float64)
-    want = exact(ids, d, [j for j in range(6000) if ids[j] % 50 == 0], 5)
+    want = exact(ids, d, [j for j in range(n) if ids[j] % 50 == 0], 5)
     assert {r.query_id for r in got} == set(want) and len(got) == 5 * len(want)
     hits = sum((r.vec_id in {i for _, i in want[r.query_id]}) for r in got)
     assert hits / len(got) >= 0.9
@@ -75,14 +79,34 @@ def test_op2_recall_and_scores(spark, monkeypatch):
         assert r.score == pytest.approx(float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)), abs=1e-12)
 
 
+def test_op2_one_vector_for_a_third_of_the_rows(spark):
+    """Copies keep their ties to smaller ids, and bundles stay bounded."""
+    rng = np.random.default_rng(2)
+    rows = [(i, ([1.0, 0.0, 0.0] if i % 3 == 0 else rng.normal(size=3).tolist())) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in kmeans_tree.search(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 12)))
+    for q, v in rows[::50]:
+        if q % 3 == 0:
+            assert sorted(got[q]) == [(i + 1, x, 1.0) for i, x in enumerate([x for x in range(0, 21, 3) if x != q][:5])]
+
+
 def test_op2_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (100, [0.0, 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(150, [1.0, 2.0, 3.0]), (8, [1.0, 2.0, 2.0]), (2, [2.0, 0.0]), (50, [1.0, 1.0]), (9, [])]
+    df = spark.createDataFrame([(*r, 7, 0.5) for r in rows], "vec_id long, embedding array<float>, rank int, score double")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in kmeans_tree.search(df, df.where("vec_id % 50 = 0")).collect())
-    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 4, 50), (0, 5, 50), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 2), (150, 1, 8)]
     assert kmeans_tree.search(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_op2_scores_of_extreme_components_are_finite(spark):
+    df = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [1e300, 1e299])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 9)) for r in kmeans_tree.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(2, round(1.1 / (2 * 1.01) ** 0.5, 9)), (1, round(0.5**0.5, 9))]
+
+
 def test_op4_held_out_accuracy(spark):
     out = {r.doc_id: r for r in nbsvm.op4(spark, "/root/testdata/sf0.1").collect()}
     labels = duckdb.sql("SELECT doc_id, quality FROM '/root/testdata/sf0.1/labels.parquet'").fetchall()
