@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +15,51 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); /tmp/checkpoints where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, one is made for a local session; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Paths of the tables that cut() wrote in this session and discard() has not removed, by the frame that reads them.
+_WRITTEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables written by cut(), once all that was made from them is itself written."""
+    for df in frames:
+        path = _WRITTEN.pop(df, None) if df is not None else None
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def id_hash(col) -> F.Column:
@@ -134,13 +166,23 @@ def numbered(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return h
     run = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
     key = splitmix(h ^ splitmix(run))
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    first = np.flatnonzero(new)
-    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
     out = h.copy()
-    again = place > 0
+    if not len(twice):
+        return out
+    # The few whose low bits are those of a repeated key are put in order.
+    some = np.zeros(1 << 20, dtype=bool)
+    low = np.uint64(len(some) - 1)
+    some[(twice & low).astype(np.int64)] = True
+    at = np.flatnonzero(some[(key & low).astype(np.int64)])
+    order = at[np.argsort(key[at], kind="stable")]
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    again = np.flatnonzero(place)
     out[order[again]] = splitmix(h[order[again]] + place[again].astype(np.uint64))
     return out
 
@@ -254,18 +296,22 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         while True:
             up = m.select(F.col("node").alias("root"), F.col("root").alias("up"))
             n = cut(m.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), name)
+            discard(m)
             moved = not n.where("moved").isEmpty()
-            m = n.drop("moved")
+            m = n
             if not moved:
                 break
         to = lambda c: m.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-        e = cut(
+        last, e = e, cut(
             e.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(),
             name,
         )
+        discard(last)
         if result is None:
             result = m
         else:
             up = m.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            result = cut(result.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), name)
+            last, result = result, cut(result.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), name)
+            discard(last, m)
+    discard(e)
     return spark.createDataFrame([], "node long, root long") if result is None else result

@@ -4,9 +4,10 @@ A line is normalised to its A-Z lower-cased words. Equal normalised lines form a
 SimHashes of their words (each repeat of a word in a line a feature of its own, so that the bars of a menu don't make
 all menus alike) differ in DISTANCE bits at most and the edit similarity of the normalised lines is SIMILAR or
 more. Fingerprints are cut into five blocks; with three bits off, two blocks agree, so they meet on one of ten pairs
-of blocks. A first join compares fingerprints only and finds those that have a partner; texts are fetched for these
-alone, verified in tiles of bounded size (pairs already connected in a tile are not verified again), and connected
-groups are found over classes. Of a group the occurrence with the smallest (document, place) stays.
+of blocks. A first join compares fingerprints only and finds those that have a partner; lines are fetched for these
+alone, from the texts where they stand, verified in tiles of bounded size (pairs already connected in a tile are not
+verified again), and connected groups are found over classes. Of a group the occurrence with the smallest (document,
+place) stays. Three bits of 64 are few: README has the share of similar lines that this finds, by length.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, differing, majority_bits, numbered, pairs_of_runs, splitmix, tile_pairs, tiles
+from .common import components, cut, differing, discard, fresh, majority_bits, numbered, pairs_of_runs, splitmix, tile_pairs, tiles
 
 DISTANCE = 3
 SIMILAR = 0.8
 KEYS = 1_000_000  # of fingerprints for each bucket
+TABLE_BITS = 26  # of the table of wanted lines: 8 MB, whatever the corpus
 LONGEST = 2048  # fingerprints of one key that a bucket compares by itself
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHIFTS = (0, 13, 26, 39, 52)
@@ -98,35 +100,158 @@ def similar(a: bytes, b: bytes) -> bool:
     return abs(len(x) - len(y)) <= allowed and edit_distance(x, y) <= allowed
 
 
+#: The hash of a word is that of its bytes' values as the digits of a number in this base, modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+_VALUE = splitmix(np.arange(256, dtype=np.uint64))
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_CHUNK = 1 << 20
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_CHUNK + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word data[begin:end], by sums over chunks of words; a word longer than a chunk has its own sum."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    i = 0
+    while i < len(begin):
+        at = begin[i]
+        j = max(i + 1, int(np.searchsorted(end, at + _CHUNK, side="right")))
+        if end[j - 1] - at > _CHUNK:
+            h = 0
+            for b in data[at : end[i]].tobytes()[::-1]:
+                h = (h * BASE + int(_VALUE[b])) & (2**64 - 1)
+            out[i] = h
+        else:
+            part = data[at : end[j - 1]]
+            total = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_VALUE[part] * _UP[: len(part)], out=total[1:])
+            out[i:j] = (total[end[i:j] - at] - total[begin[i:j] - at]) * _DOWN[begin[i:j] - at]
+        i = j
+    return splitmix(out ^ (end - begin).astype(np.uint64))
+
+
+def edges(texts: pa.Array) -> np.ndarray:
+    """Where each text of a binary column begins in its data, and the end."""
+    kind = np.int64 if pa.types.is_large_binary(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def bytes_of(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts of a binary column one after the other, and where each begins, with the end; nulls are empty."""
+    at, data = edges(texts), texts.buffers()[2]
+    return (data.slice(at[0], at[-1] - at[0]).to_pybytes() if data is not None else b""), at - at[0]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about `most` bytes of a binary column; a longer text is alone."""
+    for b in batches:
+        at = edges(b.column(column))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
+def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, digest of 128 bits, fingerprint) of every line with words."""
+    raw, at = bytes_of(texts)
+    data = np.frombuffer(raw.lower(), dtype=np.uint8)
+    gap = _GAP[data]
+    edge = np.ones(len(data) + 1, dtype=bool)  # before this byte a word may begin, or one ends
+    edge[1:-1] = gap[:-1]
+    edge[at] = True
+    letter = ~gap
+    begin = np.flatnonzero(letter & edge[:-1])
+    edge[:-1] |= gap
+    end = np.flatnonzero(letter & edge[1:]) + 1
+    if not len(begin):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none.reshape(0, 2), none
+    newline = np.flatnonzero(data == 10)
+    text = np.searchsorted(at[1:], begin, side="right")
+    place = np.searchsorted(newline, begin) - np.searchsorted(newline, at[text])
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(begin)) - 1
+    # Words with one space after each.
+    size = end - begin
+    stop = np.cumsum(size + 1)
+    neat = np.full(int(stop[-1]), 32, dtype=np.uint8)
+    neat[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[letter]
+    view = memoryview(neat)
+    digest = b"".join([xxhash.xxh128_digest(view[a:b]) for a, b in zip((stop[first] - size[first] - 1).tolist(), (stop[last] - 1).tolist())])
+    lengths = last - first + 1
+    fp = majority_bits(numbered(word_hashes(data, begin, end), lengths), lengths).view(np.int64)
+    return text[first], place[first], np.frombuffer(digest, dtype="<i8").reshape(-1, 2), fp
+
+
 def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, t, pos, h1, h2, fp) of every line with words: t the text's hash, h1 and h2 the normalised line's, fp its SimHash."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: xxhash.xxh64_intdigest(w, 7))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500)
-                row, pos, digest, words, n = [], [], [], [], []
-                for r, t in enumerate(b.column(2)):
-                    for i, line in enumerate((t.as_py() or b"").lower().split(b"\n")):
-                        ws = line.split()
-                        if ws:
-                            row.append(r)
-                            pos.append(i)
-                            digest.append(xxhash.xxh128_digest(b" ".join(ws)))
-                            words += ws
-                            n.append(len(ws))
-                lengths = np.array(n, dtype=np.int64)
-                h = numbered(np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words)), lengths)
-                fp = majority_bits(h, lengths).view(np.int64)
-                two = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(fp)], ["id", "t", "pos", "h1", "h2", "fp"])
+        for b in slices(batches, 2):
+            row, pos, two, fp = lines_of(b.column(2))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos.astype(np.int32)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(fp)], ["id", "t", "pos", "h1", "h2", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.col(text).cast("binary")).mapInArrow(of, f"id {kind}, t long, pos int, h1 long, h2 long, fp long")
 
 
+def spots(k: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Places in the table of wanted lines."""
+    return splitmix(k.view(np.uint64) ^ splitmix(pos.astype(np.uint64))) & np.uint64((1 << TABLE_BITS) - 1)
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(cid, line): the normalised lines at wanted (cid, k: hash of id and text hash, pos).
+
+    The wanted places make a table of bits of a fixed size, so texts are read where they are and only lines that it may
+    contain are dealt out; the join drops those that are not wanted.
+    """
+
+    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
+        for b in batches:
+            s = spots(b.column(0).to_numpy(), b.column(1).to_numpy())
+            np.bitwise_or.at(table, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].view(np.int64))], ["word", "ones"])
+
+    got = wanted.select("k", "pos").mapInArrow(ones, "word int, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()  # 2**(TABLE_BITS - 6) rows at most
+    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
+    table[got["word"].to_numpy()] = got["ones"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            k = b.column(0).to_numpy()
+            raw, at = bytes_of(b.column(1))
+            newline = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+            lines = np.searchsorted(newline, at[1:]) - np.searchsorted(newline, at[:-1]) + 1
+            row = np.repeat(np.arange(len(k)), lines)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(lines) - lines, lines)
+            s = spots(k[row], pos)
+            hit = np.flatnonzero((sent.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1)
+            breaks = np.append(newline, len(raw))
+            nth = np.searchsorted(newline, at[:-1])[row[hit]] + pos[hit]  # the newline that ends the line, if its text does not
+            begin = np.where(pos[hit] == 0, at[row[hit]], breaks[nth - 1] + 1)
+            end = np.minimum(breaks[nth], at[row[hit] + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(k[row[hit]]), pa.array(pos[hit].astype(np.int32)), pa.array([normalised(raw[x:y]) for x, y in zip(begin.tolist(), end.tolist())], pa.binary())], ["k", "pos", "line"])
+
+    lines = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text)).alias("k"), F.col(text).cast("binary")).mapInArrow(fetch, "k long, pos int, line binary")
+    return lines.join(wanted.select("cid", "k", "pos"), ["k", "pos"]).select("cid", "line").dropDuplicates(["cid"])
+
+
 def with_partner(prints: DataFrame, count: int) -> DataFrame:
     """(key, fp) of distinct fingerprints that have another within DISTANCE at the key.
 
@@ -229,24 +354,8 @@ def surplus_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     low = lambda i: F.expr(f"shiftrightunsigned(fp, {_SHIFTS[i]})").bitwiseAND((1 << _WIDTHS[i]) - 1)
     first_key = F.call_function("shiftleft", low(0), F.lit(13)).bitwiseOR(low(1))
     partners = cut(with_partner(prints, prints.count()).union(shared.select(first_key.alias("key"), "fp")).distinct(), "partners")
-    wanted = cut(partners.join(classes.select("fp", "cid", "first"), "fp"), "wanted")
-
-    # The texts of these lines alone, from the documents where they stand first.
-    lists = wanted.select("cid", "first").distinct().groupBy("first.id", "first.t").agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "cid")).alias("want"))
-    lists = lists.withColumnsRenamed({"id": "_id", "t": "_t"})
-    here = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(lists, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cid, line = [], []
-            for t, want in zip(b.column(0), b.column(1)):
-                lines = t.as_py().split(b"\n")
-                for w in want.as_py():
-                    cid.append(w["cid"])
-                    line.append(normalised(lines[w["pos"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(line, pa.binary())], ["cid", "line"])
-
-    lines = here.select(F.col("text").cast("binary"), "want").mapInArrow(fetch, "cid long, line binary").dropDuplicates(["cid"])
+    wanted = cut(partners.join(classes.select("fp", "cid", F.xxhash64("first.id", "first.t").alias("k"), F.col("first.pos").alias("pos")), "fp"), "wanted")
+    lines = fetched(docs, wanted.select("cid", "k", "pos").distinct(), id_col, text)
     rows = cut(wanted.select("key", "fp", "cid").join(lines, "cid").select("key", F.lit(2).alias("role"), "fp", "cid", "line"), "verify")
     groups = components(verified(rows), "line-groups").withColumnRenamed("node", "cid")
 
@@ -255,7 +364,9 @@ def surplus_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     single = classes.where("n > 1").join(groups.select("cid"), "cid", "left_anti").select("h1", "h2", F.col("first").alias("keep"))
     repeated = cut(linked.join(keepers, "root").select("h1", "h2", "keep").union(single), "repeated")
     gone = occ.join(repeated, ["h1", "h2"]).where(~spot.eqNullSafe(F.col("keep")))
-    return gone.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
+    out = cut(gone.groupBy("id", "t").agg(F.collect_set("pos").alias("gone")), "gone-lines")
+    discard(occ, classes, prints, partners, wanted, rows, linked, keepers, repeated)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,17 +374,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Lines end at newlines; lines without words always stay. Null texts stay null and have no lines. Rows that repeat
     an id and its text are one document: they keep the same lines. A null id comes before all others. An empty table
-    gives no rows. Columns of docs named n_lines or n_removed are replaced.
+    gives no rows. Columns of docs named n_lines or n_removed are replaced; all others pass through, whatever their names.
     """
-    gone = cut(surplus_lines(docs, id_col, text).withColumnsRenamed({"id": "_id", "t": "_t", "gone": "_gone"}), "gone-lines")
     base = docs.drop("n_lines", "n_removed")
+    of, t, gone = fresh(base, "of", "t", "gone")
+    found = surplus_lines(docs, id_col, text).withColumnsRenamed({"id": of, "t": t, "gone": gone})
     lines = F.split(text, "\n")
-    out = base.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_t")), "left")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    # What goes grows with the documents, so it is dealt out at every size and never broadcast.
+    out = base.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(t)), "left")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
     return (
         out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+        .withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)))
+        .withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept))
         .select(*base.columns, "n_lines", "n_removed")
     )
 
