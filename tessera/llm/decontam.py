@@ -4,8 +4,9 @@ Texts are lower-cased words. A mask keeps 6 of 10 neighbouring words; the kept w
 documents that a bit table of the benchmark's seeds may contain are joined to the benchmark's seeds, and around each
 hit the aligned words are compared: a document holds an item if some window of WINDOW aligned words around a hit (the
 whole item if it is shorter) has at least 80 % equal words. All masks keep their first and last word, so one look-up in
-a table of such word pairs rules most places out before any seed is made. Tables have fixed sizes; what passes them
-without being a seed is dropped by the join.
+a table of such word pairs rules most places out before any seed is made. Tables grow with the benchmark up to a bound;
+what passes them without being a seed is dropped by the join. Up to BROADCAST_SEEDS seeds go to every executor, so hits
+stay where they are; more are dealt out with a salt, so a seed that a third of all documents hold is spread over tasks.
 
 These masks leave a seed whole for every pattern of changed words in a window of WINDOW words, but not in shorter
 items. Those have masks of their own over the whole item: it is cut into two blocks more than it may have changed
@@ -19,13 +20,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 SPAN = 10
 MASKS = [(0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 8, 9), (0, 3, 5, 6, 7, 9)]
 WINDOW = 13
 SIMILAR = 0.8
-TABLE_BITS = 20  # of each bit table: 128 KB, whatever the benchmark's size
+TABLE_BITS = (16, 23)  # of each bit table, by the number of its hashes: 8 KB to 1 MB
+BROADCAST_SEEDS = 50_000  # of 300 bytes at most: 15 MB; more are dealt out, each SALTS times
+SALTS = 16
 
 
 def short_masks(n: int) -> list[tuple[int, ...]]:
@@ -56,23 +59,30 @@ def ends(h: Column, i) -> Column:
     return F.xxhash64(at(h, i), at(h, i + SPAN - 1))
 
 
-def slot(hash_: Column) -> Column:
-    return hash_.bitwiseAND((1 << TABLE_BITS) - 1)
-
-
-def bit_table(hashes: DataFrame) -> Column:
-    """A constant array of longs with a bit set for each hash of the column h; its size is fixed."""
-    s = slot(F.col("h"))
-    words = hashes.groupBy(F.shiftright(s, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(63).cast("int"))).alias("b")).collect()
-    table = [0] * (1 << (TABLE_BITS - 6))
+def bit_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A constant array of longs with a bit set for each of the n hashes of the column h, and the bits of a place in it."""
+    low, high = TABLE_BITS
+    bits = min(high, max(low, (32 * n).bit_length()))
+    s = F.col("h").bitwiseAND((1 << bits) - 1)
+    words = hashes.groupBy(F.shiftright(s, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), s.bitwiseAND(63).cast("int"))).alias("b")).collect()  # 2**(bits - 6) rows at most
+    table = [0] * (1 << (bits - 6))
     for r in words:
         table[r.w] = r.b
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"), bits
+
+
+def maybe(table: tuple[Column, int], hash_: Column) -> Column:
+    longs, bits = table
+    s = hash_.bitwiseAND((1 << bits) - 1)
+    return F.getbit(F.get(longs, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1
 
 
-def maybe(table: Column, hash_: Column) -> Column:
-    s = slot(hash_)
-    return F.getbit(F.get(table, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1
+def met(hits: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """hits with the seeds of their hash h; n: the number of seeds."""
+    if n <= BROADCAST_SEEDS:
+        return hits.join(F.broadcast(seeds), "h")
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return hits.withColumn("salt", F.pmod(F.xxhash64("id", "p"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
 
 
 def places(n: Column, span: int = SPAN) -> Column:
@@ -94,19 +104,20 @@ def find_short(docs: DataFrame, bench: DataFrame, id_col: str, text: str) -> Dat
     ways = [(n, m, 100 * n + k) for n in lengths for k, m in enumerate(short_masks(n))]
     own = F.filter(F.array(*(F.when(F.col("n") == n, seed(F.col("g"), F.lit(0), m, number)) for n, m, number in ways)), lambda h: h.isNotNull())
     seeds = cut(bench.select("item", "n", F.col("g").alias("theirs"), F.explode(own).alias("h")), "short-seeds")
-    table = bit_table(seeds.select("h"))
+    n_seeds = seeds.count()
+    table = bit_table(seeds.select("h"), n_seeds)
     d = F.col("d")
     once = F.monotonically_increasing_id
-    found = lambda n, m, number: F.transform(F.filter(places(F.size(d), n), lambda i: maybe(table, seed(d, i, m, number))), lambda i: F.struct(seed(d, i, m, number).alias("h"), F.slice(d, i + 1, n).alias("ours")))
+    found = lambda n, m, number: F.transform(F.filter(places(F.size(d), n), lambda i: maybe(table, seed(d, i, m, number))), lambda i: F.struct(i.alias("p"), seed(d, i, m, number).alias("h"), F.slice(d, i + 1, n).alias("ours")))
     hits = (
         docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text)).alias("d"), once().alias("m1"))
         .select("id", "m1", F.explode(F.array_distinct(F.concat(*(found(*w) for w in ways)))).alias("x"))
-        .select("id", "m1", "x.h", "x.ours")
+        .select("id", "m1", "x.p", "x.h", "x.ours")
         .where("m1 >= 0")
     )
     equal = F.aggregate(F.zip_with("ours", "theirs", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda c, x: c + x)
     holds = (F.size("ours") == F.col("n")) & (equal >= F.ceil(F.col("n") * SIMILAR))
-    return hits.join(seeds, "h").where(holds).select("id", "item")
+    return met(hits, seeds, n_seeds).where(holds).select("id", "item")
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -122,7 +133,8 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     ways = lambda h, i: [F.struct(F.lit(k).alias("k"), seed(h, i, m, k).alias("h")) for k, m in enumerate(MASKS)]
     i = F.col("i")
     seeds = cut(spans.select("item", "n", "i", ends(g, i).alias("e"), around(g, i).alias("theirs"), F.explode(F.array(*ways(g, i))).alias("s")).select("item", "n", "i", "e", "theirs", "s.h"), "seeds")
-    pairs, full = bit_table(seeds.select(F.col("e").alias("h"))), bit_table(seeds.select("h"))
+    n_seeds = seeds.count()
+    pairs, full = bit_table(seeds.select(F.col("e").alias("h")), n_seeds), bit_table(seeds.select("h"), n_seeds)
     d = F.col("d")
     # The ids made on the way keep the optimizer from moving later filters below the arrays, which would make them
     # again for each place that is looked up.
@@ -132,7 +144,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         .select("id", "d", "m1", F.filter(places(F.size(d)), lambda i: maybe(pairs, ends(d, i))).alias("at"), once().alias("m2"))
         .select("id", "d", "m1", "m2", F.explode("at").alias("p"))
         .select("id", "d", "p", "m1", "m2", F.explode(F.filter(F.array(*(seed(d, F.col("p"), m, k) for k, m in enumerate(MASKS))), lambda h: maybe(full, h))).alias("h"))
-        .select("id", "h", around(d, F.col("p")).alias("ours"), "m1", "m2")
+        .select("id", "p", "h", around(d, F.col("p")).alias("ours"), "m1", "m2")
         .where("m1 >= 0 and m2 >= 0")
     )
     # A window of L words around the span, whole in the item and the document: it starts s words before or at the hit.
@@ -141,23 +153,35 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     equal = lambda s: F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0), lambda c, j: c + F.when(F.get("ours", s + j + base) == F.get("theirs", s + j + base), 1).otherwise(0))
     inside = lambda s: (i + s >= 0) & (i + s + length <= F.col("n")) & F.get("ours", s + base).isNotNull() & F.get("ours", s + base + length - 1).isNotNull()
     holds = F.exists(F.sequence(SPAN - length, F.lit(0)), lambda s: inside(s) & (equal(s) >= F.ceil(length * SIMILAR)))
-    held = hits.join(seeds, "h").where(holds).select("id", "item")
+    held = met(hits, seeds, n_seeds).where(holds).select("id", "item")
     held = held if short is None else held.unionAll(short)
     return held.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumnRenamed("id", id_col)
 
 
-def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, contaminated, n_items, items for every document."""
-    found = cut(find_items(docs, items, id_col, text).withColumnRenamed(id_col, "_id"), "found")
-    return docs.select(id_col).join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(
-        id_col, F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items")
+def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
+    """doc_id, contaminated, n_items, items for every row of docs.
+
+    Nulls, repeated rows and empty tables as in find_items: a null or empty text holds nothing, each repeated row has the
+    answer of its id, an empty docs gives no rows, with an empty benchmark nothing is contaminated. Extra columns are ignored.
+    """
+    ids = docs.select(id_col)
+    (own,) = fresh(ids, "own")
+    found = cut(find_items(docs, items, id_col, text, item_col).withColumnsRenamed({id_col: own}).withColumnRenamed("items", own + "_items"), "found")
+    got = F.col(own + "_items")
+    return ids.join(found, F.col(id_col).eqNullSafe(F.col(own)), "left").select(
+        id_col, got.isNotNull().alias("contaminated"), F.coalesce(F.size(got), F.lit(0)).alias("n_items"), F.coalesce(got, F.array().cast(found.schema[own + "_items"].dataType)).alias("items")
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    found = cut(find_items(docs, items, id_col, text).select(F.col(id_col).alias("_id")), "found")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
+    """docs, with all their columns, without the rows whose id holds a benchmark item.
+
+    Null and empty texts hold nothing and stay, unless another row of their id holds an item; rows that repeat an id, the
+    null id among them, stay or go together. An empty docs gives no rows; with an empty benchmark all rows stay.
+    """
+    (own,) = fresh(docs, "own")
+    found = cut(find_items(docs, items, id_col, text, item_col).select(F.col(id_col).alias(own)), "found")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
 
 
 def op5(spark: SparkSession, sf: str) -> DataFrame:

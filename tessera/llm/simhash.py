@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, differing, forest, hex64, majority_bits, splitmix, tile_pairs, tiles
+from .common import Memo, components, cut, differing, discard, forest, fresh, hex64, majority_bits, splitmix, tile_pairs, tiles
 
 DISTANCE = 3
 
@@ -282,25 +282,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     more. Candidates are found by 64-bit fingerprints at most DISTANCE bits apart, at anchor points, and by shared
     keys; those that hang together form a group of candidates, in which the sets themselves are compared. Rows with
     null ids stay; rows that repeat an id are one document and stay or go together. Texts without words are copies of
-    each other.
+    each other. An empty table gives no rows. Ids may be of any type that has an order; all columns pass through.
     """
     docs_ = docs.where(F.col(id_col).isNotNull())
     columns = ["s1", "s2"]
-    own = cut(wide_prints(docs_, id_col, text, n).withColumn("id", F.col("id").cast("long")), "wide")
-    prints = cut(own.groupBy(*columns).agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(WIDE)), "keys"))), "wide-prints")
+    bits = [f"f{i}" for i in range(WIDE)]
+    own = cut(wide_prints(docs_, id_col, text, n), "wide")
+    prints = cut(own.groupBy(*columns).agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", *bits, "keys"))).withColumn("node", F.monotonically_increasing_id()), "wide-prints")
     narrow = cut(prints.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("node")), "narrow")
     of = lambda c: narrow.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"))
     anchored = links(narrow).join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = prints.join(narrow.select(F.col("fp").alias("f0"), F.col("node").alias("b")), "f0").where("node <> b").select(F.col("node").alias("a"), "b")
-    candidates = components(candidate_links(prints).unionAll(anchored).unionAll(equal), "candidates").withColumnsRenamed({"node": "_node", "root": "_root"})
+    candidates = components(candidate_links(prints).unionAll(anchored).unionAll(equal), "candidates")
+    groups = cut(prints.select(*columns, "least", "node").join(candidates, "node"), "groups")
     # The sets of these documents alone, made again from their texts.
-    wanted = docs_.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).join(candidates.select("_node"), F.col("_id") == F.col("_node"), "left_semi")
-    sets = wide_prints(wanted, "_id", "_text", n, sets=True).withColumnRenamed("id", "node").dropDuplicates(["node", *columns])
-    rows = cut(sets.join(candidates, F.col("node") == F.col("_node")).select(F.col("_root").alias("key"), F.lit(2).alias("role"), "node", "n", *(f"f{i}" for i in range(WIDE)), "shingles"), "sets")
-    roots = components(similar_links(rows), "near").withColumnsRenamed({"node": "id", "root": "_root"})
-    least = own.join(prints.select(*columns, "node"), columns).select("id", "node").distinct()
-    gone = least.join(roots.withColumnRenamed("id", "node"), "node", "left").where(F.coalesce("_root", "node") < F.col("id")).select(F.col("id").alias("_id")).distinct()
-    return docs.join(cut(gone, "gone"), F.col(id_col) == F.col("_id"), "left_anti")
+    sent, is_text = fresh(docs_, "sent", "is_text")
+    wanted = docs_.select(F.col(id_col), F.col(text)).join(groups.select(F.col("least").alias(sent)), F.col(id_col) == F.col(sent), "left_semi").select(F.col(id_col).alias(sent), F.col(text).alias(is_text))
+    sets = wide_prints(wanted, sent, is_text, n, sets=True).withColumnRenamed("id", "least").dropDuplicates(["least", *columns])
+    rows = cut(sets.join(groups, ["least", *columns]).select(F.col("root").alias("key"), F.lit(2).alias("role"), "node", "n", *bits, "shingles"), "sets")
+    roots = components(similar_links(rows), "near")
+    of_print = cut(prints.select(*columns, "least", "node").join(roots, "node", "left").select(*columns, "least", F.coalesce("root", "node").alias("root")), "of-print")
+    keep = of_print.join(of_print.groupBy("root").agg(F.min("least").alias("keep")), "root").select(*columns, "keep")
+    (gone_id,) = fresh(docs, "gone")
+    gone = cut(own.select("id", *columns).join(keep, columns).where(F.col("keep") < F.col("id")).select(F.col("id").alias(gone_id)).distinct(), "gone")
+    discard(own, prints, narrow, candidates, groups, rows, roots, of_print)
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
 
 
 def op6(spark: SparkSession, sf: str) -> DataFrame:

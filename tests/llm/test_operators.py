@@ -152,7 +152,7 @@ def test_op5_finds_items_with_substitutions_and_leaves_others(spark):
     assert decontam.mark(df.limit(0), bench).collect() == [] and len(decontam.decontaminate(df, bench.limit(0)).collect()) == len(docs)
 
 
-@pytest.mark.parametrize("lengths", [(10, 11, 12), tuple(range(1, 10))])
+@pytest.mark.parametrize("lengths", [(10, 11, 12), tuple(range(1, 10)), (13,)])
 def test_op5_finds_every_pattern_of_changed_words_in_short_items(spark, lengths):
     docs, want, items = [], {}, []
     for n in lengths:
@@ -166,6 +166,39 @@ def test_op5_finds_every_pattern_of_changed_words_in_short_items(spark, lengths)
     assert {i for i in got if got[i] != want[i]} == set()
 
 
+def held_items(text, items):
+    """Sorted ids of the items a text holds, by trying every place."""
+    d = text.lower().split()
+    out = []
+    for i, t in items:
+        g = (t or "").lower().split()
+        w = min(len(g), 13)
+        if w and any(5 * sum(a == b for a, b in zip(g[p : p + w], d[q : q + w])) >= 4 * w for p in range(len(g) - w + 1) for q in range(len(d) - w + 1)):
+            out.append(i)
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_op5_against_brute_force(spark, broadcast, monkeypatch):
+    """Texts of few different words, so that many places nearly agree; seeds sent to all tasks, or dealt out with a salt."""
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", broadcast)
+    rng = random.Random(12)
+    words = ["a", "b", "C", "dd", "é"]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([1, 4, 7, 9, 11, 12, 13, 14, 20, 30] if broadcast else [6, 12, 13, 25])] + [(99, None), (98, " ")]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(60)]
+    for i, (_, t) in enumerate(items[:-2]):
+        w = t.split()
+        w[rng.randrange(len(w))] = "x"
+        docs.append((100 + i, " ".join(["y"] * 3 + w + ["z"])))
+    docs += [(200, None), (201, ""), docs[0], docs[0], (None, items[-3][1]), (202, " ".join(["w%d" % i for i in range(60_000)] + items[-3][1].split()))]
+    df = spark.createDataFrame([(i, t, 3, 4) for i, t in docs], "doc_id long, text string, items int, own int")
+    bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, h int")
+    got = decontam.mark(df, bench).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r["items"]) for r in got) == sorted((i is None, i or 0, held_items(t or "", items)) for i, t in docs)
+    left = decontam.decontaminate(df, bench)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, t in docs if not held_items(t or "", items))
+
+
 def test_op8_law(spark):
     rows = hilbert.op8(spark, SF).collect()
     docs = {i: (t or "").encode() for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()}

@@ -133,6 +133,14 @@ def test_keep_one_against_brute_force_around_the_bound(spark):
     assert got == want
 
 
+def test_keep_one_with_ids_of_text_repeated_rows_and_clashing_names(spark):
+    a, b = " ".join("a%d" % i for i in range(40)), " ".join("b%d" % i for i in range(40))
+    rows = [("d2", a, 1), ("d1", a, 2), ("d1", a, 2), ("d3", b, 3), (None, a, 4), ("d4", None, 5), ("d5", " ", 6), ("d6", "", 7)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id string, text string, _id int, gone int, node int")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(map(str, (r.doc_id for r in got.collect()))) == ["None", "d1", "d1", "d3", "d4"]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
