@@ -14,15 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, id_hash, sampled
+from .common import Memo, cut, fresh, id_hash, sampled
 
 BITS = 18
 #: The most labelled rows a model is fitted on: those with the smallest hash of the id.
 SAMPLE = 6000
+SAMPLE_BYTES = 256 << 20  # of their features, which the driver holds
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
@@ -135,10 +137,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled documents. Null ids and labels are left out; of several labels for an id the least counts."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_y"))
+    y, is_text = fresh(docs.select(id_col, text), "y", "is_text")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).alias(y))
     known = sampled(known, sample, known.count(), id_col)
     # At most `sample` rows go to every executor, and as many rows of features come back.
-    picked = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(known), id_col).select(id_col, "_y", "_text")
+    picked = docs.select(id_col, F.col(text).alias(is_text)).join(F.broadcast(known), id_col).select(id_col, y, is_text)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = token_memo()
@@ -147,26 +150,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(x, pa.binary())], ["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = picked.mapInArrow(extract, f"id {kind}, y int, x binary").toArrow().to_pydict()
+    found = cut(picked.mapInArrow(extract, f"id {kind}, y int, x binary"), "features")
+    # In the order of the sample, as many rows as SAMPLE_BYTES hold; at most `sample` rows are ordered.
+    so_far = Window.orderBy(id_hash(F.col("id")), "id", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = found.withColumn("so_far", F.sum(F.octet_length("x")).over(so_far)).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda i: (zlib.crc32(str(got["id"][i]).encode()), got["id"][i], got["x"][i]))
     rows = [np.frombuffer(got["x"][i], dtype=np.int32) for i in order]
     return fit(rows, np.array([got["y"][i] for i in order], dtype=np.int64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score and predicted. Null and empty texts get the score of a text without features."""
+    """docs with score and predicted, which replace columns of these names.
+
+    Null and empty texts get the score of a text without features; repeated rows are scored alike; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 arrays of 2**BITS floats
 
-    def of(batches):
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = token_memo()
         m = sent.value
         for s in batches:
-            import pandas as pd
-
             yield pd.Series(m.score(np.array([m.margin(features(t, memo)) for t in s], dtype=np.float64)))
 
-    udf = F.pandas_udf(of, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("score", udf(F.col(text))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return docs.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

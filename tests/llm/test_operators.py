@@ -124,6 +124,46 @@ def test_op4_odd_rows(spark):
     assert nbsvm.classify_quality(docs.limit(0), labels).collect() == []
 
 
+def test_op4_model_against_a_plain_fit(spark):
+    """Ratios from counts, and the dual solution: the fitted weights leave no larger objective than small steps away from them."""
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(30)]
+    texts = [" ".join(rng.choices(words[:20] if i % 2 else words[10:], k=rng.randint(3, 30))) for i in range(200)]
+    memo = nbsvm.token_memo()
+    rows, y = [nbsvm.features(t, memo) for t in texts], np.array([i % 2 for i in range(200)])
+    sets = [{x for n in (1, 2) for x in zip(*(t.split()[k:] for k in range(n)))} for t in (" ".join(nbsvm._TOKEN.findall(t)) for t in texts)]
+    assert all(len(r) == len(s) for r, s in zip(rows, sets))
+    dims = 1 << nbsvm.BITS
+    count = {c: np.ones(dims) for c in (0, 1)}
+    for r, c in zip(rows, y):
+        for j in r.tolist():
+            count[c][j] += 1
+    ratio = np.log(count[1] / count[1].sum() / (count[0] / count[0].sum()))
+    w, bias = nbsvm.descend(rows, np.where(y == 1, 1.0, -1.0), ratio, epochs=500)
+    x = [ratio[r] / np.sqrt((ratio[r] ** 2).sum()) for r in rows]
+
+    def objective(w, bias):
+        return 0.5 * ((w * w).sum() + bias * bias) + sum(max(0.0, 1 - s * (w[r] @ v + bias)) for r, v, s in zip(rows, x, np.where(y == 1, 1.0, -1.0)))
+
+    least = objective(w, bias)
+    used = np.unique(np.concatenate(rows))
+    gen = np.random.default_rng(1)
+    for size in (1e-1, 1e-2):
+        for _ in range(20):
+            step = np.zeros(dims)
+            step[used] = gen.normal(size=len(used)) * size
+            assert objective(w + step, bias + gen.normal() * size) >= least - 1e-2
+    m = nbsvm.fit(rows, y)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in nbsvm.score(docs, m).collect()}
+    for i, r in enumerate(rows):
+        v = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        own = nbsvm.descend(rows, np.where(y == 1, 1.0, -1.0), ratio)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(m.a * (own[0][r] @ v + own[1]) + m.b))), abs=1e-4)
+        if i > 4:
+            break
+
+
 def test_op5_finds_items_with_substitutions_and_leaves_others(spark):
     rng = random.Random(7)
     words = ["q%d" % i for i in range(4000)]
@@ -237,6 +277,27 @@ def test_pipeline(spark):
     assert all(r.round_trip for r in held.select("round_trip").collect())
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """run() on nulls, empty and long texts, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline as P
+
+    long = " ".join("word%d" % (i * i % 9973) for i in range(60_000))
+    rows = [(1, "a b c\nd e f", "en", "s", 11), (1, "a b c\nd e f", "en", "s", 11), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "x y", "en", "s", 3), (4, long, "en", "s", len(long)), (5, "A  b c\nnew line of its own", "en", "t", 30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["_id", "t", "gone", "of", "own", "score", "id", "node", "ids", "items", "y"]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(7, "new line of its own"), (8, None), (9, "")], "item_id long, text string")
+    for name, d, n in (("some", docs.selectExpr("*", *(f"7 AS {c}" for c in extra)), 5), ("none", docs.limit(0), 0)):
+        at = tmp_path / name
+        d.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        got = P.run(spark, str(at)).collect()
+        # Both rows of 1, one of the wordless 2 and 3, null and 4 stay; 5 holds an item.
+        assert sorted(str(r.doc_id) for r in got) == (["1", "1", "2", "4", "None"] if n else []) and all(r.round_trip for r in got)
+
+
 def test_the_rest_does_not_import_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for p in (root / "tessera").rglob("*.py"):
