@@ -187,6 +187,36 @@ def numbered(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+TABLE_BITS = 26  # of a table of wanted hashes: 8 MB, whatever the corpus
+
+
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which uint64 hashes a table of bits may contain."""
+    s = h & np.uint64((1 << TABLE_BITS) - 1)
+    return (table[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1
+
+
+def table_of(hashes: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray] = lambda b: splitmix(b.column(0).to_numpy().view(np.uint64))) -> np.ndarray:
+    """A table of 2**TABLE_BITS bits with one set for each row's hash, or-ed across partitions.
+
+    With it rows are looked for where they stand, and only those that may be wanted are dealt out; a join then drops what
+    is not. A fuller table rules fewer rows out, the result stays the same.
+    """
+
+    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
+        for b in batches:
+            s = of(b) & np.uint64((1 << TABLE_BITS) - 1)
+            np.bitwise_or.at(table, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].view(np.int64))], ["word", "ones"])
+
+    got = hashes.mapInArrow(ones, "word int, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()  # 2**(TABLE_BITS - 6) rows at most
+    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
+    table[got["word"].to_numpy()] = got["ones"].to_numpy().view(np.uint64)
+    return table
+
+
 def pairs_of_runs(key: np.ndarray, longest: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (i < j) of equal neighbours in sorted keys, some at a time, for runs of at most `longest`."""
     new = np.ones(len(key), dtype=bool)

@@ -20,12 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, differing, discard, fresh, majority_bits, numbered, pairs_of_runs, splitmix, tile_pairs, tiles
+from .common import components, cut, differing, discard, fresh, in_table, majority_bits, numbered, pairs_of_runs, splitmix, table_of, tile_pairs, tiles
 
 DISTANCE = 3
 SIMILAR = 0.8
 KEYS = 1_000_000  # of fingerprints for each bucket
-TABLE_BITS = 26  # of the table of wanted lines: 8 MB, whatever the corpus
 LONGEST = 2048  # fingerprints of one key that a bucket compares by itself
 _WIDTHS = (13, 13, 13, 13, 12)
 _SHIFTS = (0, 13, 26, 39, 52)
@@ -208,8 +207,8 @@ def occurrences(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def spots(k: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Places in the table of wanted lines."""
-    return splitmix(k.view(np.uint64) ^ splitmix(pos.astype(np.uint64))) & np.uint64((1 << TABLE_BITS) - 1)
+    """Hashes of places in the table of wanted lines."""
+    return splitmix(k.view(np.uint64) ^ splitmix(pos.astype(np.uint64)))
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -219,18 +218,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataF
     contain are dealt out; the join drops those that are not wanted.
     """
 
-    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
-        for b in batches:
-            s = spots(b.column(0).to_numpy(), b.column(1).to_numpy())
-            np.bitwise_or.at(table, (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].view(np.int64))], ["word", "ones"])
-
-    got = wanted.select("k", "pos").mapInArrow(ones, "word int, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()  # 2**(TABLE_BITS - 6) rows at most
-    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
-    table[got["word"].to_numpy()] = got["ones"].to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(table_of(wanted.select("k", "pos"), lambda b: spots(b.column(0).to_numpy(), b.column(1).to_numpy())))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -240,8 +228,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataF
             lines = np.searchsorted(newline, at[1:]) - np.searchsorted(newline, at[:-1]) + 1
             row = np.repeat(np.arange(len(k)), lines)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(lines) - lines, lines)
-            s = spots(k[row], pos)
-            hit = np.flatnonzero((sent.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) == 1)
+            hit = np.flatnonzero(in_table(sent.value, spots(k[row], pos)))
             breaks = np.append(newline, len(raw))
             nth = np.searchsorted(newline, at[:-1])[row[hit]] + pos[hit]  # the newline that ends the line, if its text does not
             begin = np.where(pos[hit] == 0, at[row[hit]], breaks[nth - 1] + 1)

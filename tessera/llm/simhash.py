@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, components, cut, differing, discard, forest, fresh, hex64, majority_bits, splitmix, tile_pairs, tiles
+from .common import Memo, components, cut, differing, discard, forest, fresh, hex64, in_table, majority_bits, splitmix, table_of, tile_pairs, tiles
 
 DISTANCE = 3
 
@@ -193,14 +193,19 @@ def candidate_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
-def wide_prints(docs: DataFrame, id_col: str, text: str, n: int, sets: bool = False) -> DataFrame:
+def wide_prints(docs: DataFrame, id_col: str, text: str, n: int, only: np.ndarray | None = None) -> DataFrame:
     """(id, s1 and s2: a digest of the set of shingles, n: its size, f0 to f3, keys) for every row.
 
-    The four SimHashes count each distinct shingle once. With `sets`, the shingles themselves stand in place of the keys.
+    The four SimHashes count each distinct shingle once. With `only`, a table of id hashes, the shingles themselves stand
+    in place of the keys, for the rows whose id the table may contain.
     """
+    sets = only is not None
+    sent = docs.sparkSession.sparkContext.broadcast(only)  # 2**TABLE_BITS bits
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            if sets:
+                whole = whole.filter(pa.array(in_table(sent.value, splitmix(whole.column(2).to_numpy().view(np.uint64)))))
             for start in range(0, whole.num_rows, 200):
                 b = whole.slice(start, 200)
                 held = [np.unique(np.array(shingle_hashes(t.as_py() or b"", n), dtype=np.uint64)) for t in b.column(1)]
@@ -211,7 +216,7 @@ def wide_prints(docs: DataFrame, id_col: str, text: str, n: int, sets: bool = Fa
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(lengths), *map(pa.array, prints), last], ["id", "s1", "s2", "n", *(f"f{i}" for i in range(WIDE)), "shingles" if sets else "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(of, f"id {kind}, s1 long, s2 long, n long, {_WIDE_BITS}, {'shingles binary' if sets else 'keys array<long>'}")
+    return docs.select(id_col, F.col(text).cast("binary"), *([F.xxhash64(id_col)] if sets else [])).mapInArrow(of, f"id {kind}, s1 long, s2 long, n long, {_WIDE_BITS}, {'shingles binary' if sets else 'keys array<long>'}")
 
 
 def near_pairs(t: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,10 +300,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     equal = prints.join(narrow.select(F.col("fp").alias("f0"), F.col("node").alias("b")), "f0").where("node <> b").select(F.col("node").alias("a"), "b")
     candidates = components(candidate_links(prints).unionAll(anchored).unionAll(equal), "candidates")
     groups = cut(prints.select(*columns, "least", "node").join(candidates, "node"), "groups")
-    # The sets of these documents alone, made again from their texts.
-    sent, is_text = fresh(docs_, "sent", "is_text")
-    wanted = docs_.select(F.col(id_col), F.col(text)).join(groups.select(F.col("least").alias(sent)), F.col(id_col) == F.col(sent), "left_semi").select(F.col(id_col).alias(sent), F.col(text).alias(is_text))
-    sets = wide_prints(wanted, sent, is_text, n, sets=True).withColumnRenamed("id", "least").dropDuplicates(["least", *columns])
+    # The sets of these documents alone, made again from their texts where they stand.
+    sets = wide_prints(docs_, id_col, text, n, table_of(groups.select(F.xxhash64("least")))).withColumnRenamed("id", "least").dropDuplicates(["least", *columns])
     rows = cut(sets.join(groups, ["least", *columns]).select(F.col("root").alias("key"), F.lit(2).alias("role"), "node", "n", *bits, "shingles"), "sets")
     roots = components(similar_links(rows), "near")
     of_print = cut(prints.select(*columns, "least", "node").join(roots, "node", "left").select(*columns, "least", F.coalesce("root", "node").alias("root")), "of-print")
@@ -306,7 +309,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int
     (gone_id,) = fresh(docs, "gone")
     gone = cut(own.select("id", *columns).join(keep, columns).where(F.col("keep") < F.col("id")).select(F.col("id").alias(gone_id)).distinct(), "gone")
     discard(own, prints, narrow, candidates, groups, rows, roots, of_print)
-    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    # What goes grows with the documents, so it is dealt out at every size and never broadcast.
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col(gone_id), "left_anti")
 
 
 def op6(spark: SparkSession, sf: str) -> DataFrame:
