@@ -6,9 +6,10 @@ has probability (c + 1) / (C + V + 1) in it, c its count, C and V the class's to
 texts, an unknown word c = 0. So the model's tables are bounded however large the vocabulary is; the vocabulary itself,
 with its counts, stays a table that grows with the corpus and is joined.
 
-Starting values come from a bounded sample (START_TEXTS); then ROUNDS of Baum-Welch add up expected counts of every
-training text over all partitions. For these counts texts are taken in windows of WINDOW tokens, all of which count.
-Scores come from the forward recursion over whole texts.
+Starting values come from a bounded sample of whole texts (START_TEXTS and START_TOKENS); then ROUNDS of Baum-Welch add up
+expected counts of every training text over all partitions. Texts are whole there too: of a long text the forward state
+is kept at seams of SEAM tokens only and each stretch is made again on the way back, so memory is bounded and no
+transition is left out. Scores come from the forward recursion over whole texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, id_hash, sampled
@@ -28,11 +29,13 @@ from .common import Memo, cut, id_hash, sampled
 STATES = 8
 FREQUENT = 30_000
 SUFFIXES = 2_048
-ROUNDS = 2
-WINDOW = 256
-START_TEXTS = 1_500
+ROUNDS = 3
+SEAM = 2_048
+START_TEXTS = 500
+START_TOKENS = 1_000_000
 END = b""
 BATCH = 1_024
+TOKENS = 400_000  # in the tables of one batch
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -151,29 +154,43 @@ class Expected:
         """seqs: longest first, none empty."""
         x, alive = padded(seqs)
         states = len(m.start)
-        a = np.zeros((*x.shape, states))
-        scale = np.ones(x.shape)
-        for t in range(len(x)):
+        seams = range(0, len(x), SEAM)
+
+        def step(a: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
             k = alive[t]
-            e = m.emit[x[t, :k]]
-            f = e * (m.start if not t else a[t - 1, :k] @ m.move)
+            f = m.emit[x[t, :k]] * (m.start if a is None else a[:k] @ m.move)
             s = f.sum(axis=1)
-            a[t, :k] = f / s[:, None]
-            scale[t, :k] = s
+            return f / s[:, None], s
+
+        enter: list[np.ndarray | None] = [None]
+        a = None
+        for t in range(seams[-1]):
+            a, _ = step(a, t)
+            if (t + 1) % SEAM == 0:
+                enter.append(a)
         b = np.ones((x.shape[1], states))
-        gamma = np.zeros_like(a)
-        for t in range(len(x) - 1, -1, -1):
-            k = alive[t]
-            gamma[t, :k] = a[t, :k] * b[:k]
-            if t:
-                e = m.emit[x[t, :k]] * b[:k] / scale[t, :k, None]
-                self.move += (a[t - 1, :k].T @ e) * m.move
-                b[:k] = e @ m.move.T
-        self.start += gamma[0].sum(axis=0)
-        live = np.arange(x.shape[1])[None, :] < alive[:, None]
-        ids, g = x[live], gamma[live]
-        for s in range(states):
-            self.emit[:, s] += np.bincount(ids, weights=g[:, s], minlength=len(self.emit))
+        for begin in reversed(seams):
+            end = min(begin + SEAM, len(x))
+            width = alive[begin]
+            a = enter.pop()
+            before, held, scale = a, np.zeros((end - begin, width, states)), np.ones((end - begin, width))
+            for t in range(begin, end):
+                a, s = step(a, t)
+                held[t - begin, : len(a)], scale[t - begin, : len(a)] = a, s
+            gamma = np.zeros_like(held)
+            for t in range(end - 1, begin - 1, -1):
+                k = alive[t]
+                gamma[t - begin, :k] = held[t - begin, :k] * b[:k]
+                if t:
+                    e = m.emit[x[t, :k]] * b[:k] / scale[t - begin, :k, None]
+                    self.move += ((held[t - begin - 1] if t > begin else before)[:k].T @ e) * m.move
+                    b[:k] = e @ m.move.T
+            if not begin:
+                self.start += gamma[0].sum(axis=0)
+            live = np.arange(width)[None, :] < alive[begin:end, None]
+            ids, g = x[begin:end, :width][live], gamma[live]
+            for s in range(states):
+                self.emit[:, s] += np.bincount(ids, weights=g[:, s], minlength=len(self.emit))
 
     def model(self, prior: np.ndarray, strength: float = 100.0) -> Model:
         """Parameters from the counts; emissions are smoothed towards the classes' own shares, so none is zero."""
@@ -183,21 +200,24 @@ class Expected:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit)
 
 
-def windows(ids: bytes) -> list[np.ndarray]:
-    x = np.frombuffer(ids, dtype="<u2").astype(np.int64)
-    return [x[i : i + WINDOW] for i in range(0, len(x), WINDOW)]
+def classes_of(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, dtype="<u2").astype(np.int64)
 
 
 def in_batches(m: Model, e: Expected, seqs: list[np.ndarray]) -> None:
     seqs = sorted(seqs, key=len, reverse=True)
-    for i in range(0, len(seqs), BATCH):
-        e.add(m, seqs[i : i + BATCH])
+    i = 0
+    while i < len(seqs):
+        n = len(seqs[i])
+        many = max(1, min(BATCH, TOKENS // min(n, SEAM), 10 * TOKENS // n))
+        e.add(m, seqs[i : i + many])
+        i += many
 
 
-def starting_values(texts: list[bytes], prior: np.ndarray, states: int, rounds: int = 12, seed: int = 5) -> Model:
-    """Baum-Welch on a bounded sample from states that lean to the words of different texts."""
+def starting_values(texts: list[bytes], prior: np.ndarray, states: int, rounds: int = 8, seed: int = 5) -> Model:
+    """Baum-Welch on a bounded sample of whole texts, from states that lean to the words of different texts."""
     rng = np.random.default_rng(seed)
-    seqs = [w for t in texts for w in windows(t)[:4]]
+    seqs = [classes_of(t) for t in texts]
     emit = np.repeat(prior[:, None], states, axis=1)
     for s in range(states):
         for i in rng.choice(len(seqs), min(5, len(seqs)), replace=False) if seqs else ():
@@ -220,12 +240,14 @@ def baum_welch(rows: DataFrame, m: Model, prior: np.ndarray) -> Model:
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Expected(sent.value)
         held: list[np.ndarray] = []
+        have = 0
         for b in batches:
             for ids in b.column(0):
-                held += windows(ids.as_py())
-                if len(held) >= 4 * BATCH:
+                held.append(classes_of(ids.as_py()))
+                have += len(held[-1])
+                if have >= 5 * TOKENS:
                     in_batches(sent.value, e, held)
-                    held = []
+                    held, have = [], 0
         if held:
             in_batches(sent.value, e, held)
         whole = np.concatenate((e.emit, e.move, e.start[None, :]))
@@ -252,17 +274,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sta
     docs = docs.select(id_col, text, (id_hash(F.col(id_col)) % 7 == 2).alias("held_out"))
     counts = cut(count_words(docs.where("not held_out"), text), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    # The frequent words are those of the highest classes of counts, as many classes as hold at most `frequent` words.
-    level = F.floor(F.log2("c") * 64)
-    edge, have = None, 0
+    # The frequent words are those of the highest classes of counts; the last class that has room gives the words of
+    # the smallest hash.
+    level, place = F.floor(F.log2("c") * 64), F.xxhash64("w")
+    edge, have, part = None, 0, None
     for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # at most 64 * 63 rows
-        have += r.n
-        if have > frequent:
+        if have + r.n > frequent:
+            part = r
             break
+        have += r.n
         edge = r.level
-    top = sorted(counts.where(level >= edge).collect(), key=lambda r: (-r.c, r.w)) if edge is not None else []  # at most `frequent` rows
-    classes = Classes({bytes(r.w): i for i, r in enumerate(top)}, np.array([r.c for r in top], dtype=np.float64), total, distinct)
+    top = counts.where(level >= edge).collect() if edge is not None else []  # at most `frequent` rows
     others = counts.where(level < edge) if edge is not None else counts
+    if part is not None and have < frequent:
+        more = sampled(counts.where(level == part.level), frequent - have, part.n, "w").select("w", "c", place.alias("at")).collect()
+        top += more
+        others = counts.where((level < part.level) | ((level == part.level) & (place > max((r["at"] for r in more), default=-(1 << 63)))))
+    top = sorted(top, key=lambda r: (-r.c, r.w))
+    classes = Classes({bytes(r.w): i for i, r in enumerate(top)}, np.array([r.c for r in top], dtype=np.float64), total, distinct)
     suffix = lambda w: (F.crc32(F.substring(w, -3, 3)) % SUFFIXES).cast("int")
     sums = others.groupBy(suffix(F.col("w")).alias("suffix")).agg(F.sum("c").alias("cs"), F.count("c").alias("vs")).collect()  # at most SUFFIXES rows
     mass = np.zeros(SUFFIXES)
@@ -275,7 +304,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sta
 
     rows = cut(encode(docs, classes, id_col, text).withColumn("row", F.monotonically_increasing_id()), "encoded")
     learn = rows.where("not held_out")
-    sample = sampled(learn.select("ids", "row"), START_TEXTS, learn.count(), "row").select("ids").collect()
+    so_far = Window.orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of START_TEXTS rows at most
+    sample = sampled(learn.select("ids", "n_tokens", "row"), START_TEXTS, learn.count(), "row").withColumn("so_far", F.sum("n_tokens").over(so_far)).where(F.col("so_far") <= START_TOKENS).select("ids").collect()
     m = starting_values([bytes(r.ids) for r in sample], prior, states)
     for _ in range(rounds if total else 0):
         m = baum_welch(learn, m, prior)

@@ -44,6 +44,63 @@ def test_forward_and_counts_against_all_paths():
         assert got == pytest.approx(sum(w[i] for w in want))
 
 
+@pytest.mark.parametrize("seam", [1, 2, 3, 5])
+def test_counts_do_not_depend_on_seams(seam, monkeypatch):
+    m, rng = tiny(3), random.Random(seam)
+    seqs = sorted(([rng.randrange(4) for _ in range(rng.randint(1, 8))] for _ in range(9)), key=len, reverse=True)
+    want = [slow(m, x) for x in seqs]
+    monkeypatch.setattr(hmm, "SEAM", seam)
+    monkeypatch.setattr(hmm, "TOKENS", 6)
+    e = Expected(m)
+    hmm.in_batches(m, e, [np.array(x) for x in seqs])
+    for got, i in ((e.start, 1), (e.move, 2), (e.emit, 3)):
+        assert got == pytest.approx(sum(w[i] for w in want))
+
+
+def test_score_against_all_paths(spark, monkeypatch):
+    """The whole score of short texts: all paths of the states, and each rare word's share of its class; the level of counts
+    that does not fit gives as many words of its own as there is room."""
+    import zlib
+
+    rng = np.random.default_rng(8)
+    held = {}
+
+    def start(texts, prior, states, **_):
+        held["m"] = Model(rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(len(prior)), states).T)
+        return held["m"]
+
+    monkeypatch.setattr(hmm, "starting_values", start)
+    words = ["aa", "bb", "xing", "ying", "zz", "new", "\u00e9"]
+    py = random.Random(3)
+    docs = [(i, " ".join(py.choices(words[:5], k=py.randint(0, 5)))) for i in range(40)] + [(900, "new aa ying " * 2), (901, None)]
+    got = {r.doc_id: r.score for r in hmm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), states=2, rounds=0, frequent=3).collect()}
+    split = lambda t: (t or "").encode().split() + [b""]
+    c = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+    m = held["m"]
+    n_own = len(m.emit) - hmm.SUFFIXES
+    assert n_own == 3
+    own = sorted(c, key=lambda w: (-c[w], w))[:3]
+    if c[own[-1]] == sorted(c.values(), reverse=True)[3]:
+        pytest.skip("tied counts")
+    cls = lambda w: own.index(w) if w in own else 3 + zlib.crc32(w[-3:]) % hmm.SUFFIXES
+    mass, kinds = Counter(), Counter()
+    for w, k in c.items():
+        if w not in own:
+            mass[cls(w)] += k
+            kinds[cls(w)] += 1
+    for i, t in docs:
+        x = [cls(w) for w in split(t)]
+        want = math.log10(slow(m, x)[0]) + sum(math.log10((c[w] + 1) / (mass[cls(w)] + kinds[cls(w)] + 1)) for w in split(t) if w not in own)
+        assert got[i] == pytest.approx(want, abs=1e-9), t
+
+
+def test_all_counts_alike_still_give_classes(spark):
+    """One level of counts larger than there is room for; repeated rows and a very long text."""
+    docs = [(i, "w%d v%d" % (i, i)) for i in range(50)] + [(77, "long " * 70_000), (3, "w3 v3"), (3, "w3 v3")]
+    got = hmm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), rounds=1, frequent=10).collect()
+    assert len(got) == 53 and all(math.isfinite(r.score) for r in got) and len({round(r.score, 9) for r in got if r.doc_id == 3}) == 1
+
+
 def test_contract_columns(spark):
     import zlib
 
