@@ -29,13 +29,13 @@ from .common import Memo, cut, id_hash, sampled
 STATES = 8
 FREQUENT = 30_000
 SUFFIXES = 2_048
-ROUNDS = 3
-SEAM = 2_048
+ROUNDS = 2
+SEAM = 4_096
 START_TEXTS = 500
 START_TOKENS = 1_000_000
 END = b""
 BATCH = 1_024
-TOKENS = 400_000  # in the tables of one batch
+TOKENS = 1_000_000  # in the tables of one batch
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -177,18 +177,17 @@ class Expected:
             for t in range(begin, end):
                 a, s = step(a, t)
                 held[t - begin, : len(a)], scale[t - begin, : len(a)] = a, s
-            gamma = np.zeros_like(held)
             for t in range(end - 1, begin - 1, -1):
                 k = alive[t]
-                gamma[t - begin, :k] = held[t - begin, :k] * b[:k]
+                held[t - begin, :k] *= b[:k]  # from here on the state's share, no more the forward value
                 if t:
                     e = m.emit[x[t, :k]] * b[:k] / scale[t - begin, :k, None]
                     self.move += ((held[t - begin - 1] if t > begin else before)[:k].T @ e) * m.move
                     b[:k] = e @ m.move.T
             if not begin:
-                self.start += gamma[0].sum(axis=0)
+                self.start += held[0].sum(axis=0)
             live = np.arange(width)[None, :] < alive[begin:end, None]
-            ids, g = x[begin:end, :width][live], gamma[live]
+            ids, g = x[begin:end, :width][live], held[live]
             for s in range(states):
                 self.emit[:, s] += np.bincount(ids, weights=g[:, s], minlength=len(self.emit))
 
@@ -209,7 +208,7 @@ def in_batches(m: Model, e: Expected, seqs: list[np.ndarray]) -> None:
     i = 0
     while i < len(seqs):
         n = len(seqs[i])
-        many = max(1, min(BATCH, TOKENS // min(n, SEAM), 10 * TOKENS // n))
+        many = max(1, min(BATCH, TOKENS // min(n, SEAM), 4 * TOKENS // n))
         e.add(m, seqs[i : i + many])
         i += many
 
@@ -245,7 +244,7 @@ def baum_welch(rows: DataFrame, m: Model, prior: np.ndarray) -> Model:
             for ids in b.column(0):
                 held.append(classes_of(ids.as_py()))
                 have += len(held[-1])
-                if have >= 5 * TOKENS:
+                if have >= 2 * TOKENS:
                     in_batches(sent.value, e, held)
                     held, have = [], 0
         if held:
