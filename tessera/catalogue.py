@@ -21,9 +21,11 @@ ORACLES: dict[str, str] = {}
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
+    """A new folder in the one that all executors share; a cluster must name it, a local session may do without."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", named := "/tmp/checkpoints")
     return f"{named.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
@@ -196,7 +198,12 @@ def scan_partition(spark, sf):
     return storage.read_partition(load(spark, sf, "orders"), 0)
 
 
-@other("out_json")
+@other("scan_chunk", "SELECT * FROM orders")
+def scan_chunk(spark, sf):
+    return storage.read_chunk(spark, f"{sf}/orders.parquet", 0)
+
+
+@other("out_json", "SELECT CAST(json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey) AS VARCHAR) AS line FROM nation")
 def out_json(spark, sf):
     return load(spark, sf, "nation").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
 
@@ -301,5 +308,17 @@ def ecc_roundtrip(spark, sf):
     return ecc.repair(coded).select("p_partkey", "p_name", F.col("repaired").cast("string").alias("repaired"), "errors")
 
 
+@other("ecc_values", "SELECT p_partkey, p_name AS repaired, TRUE AS in_bounds FROM part")
+def ecc_values(spark, sf):
+    return ecc_roundtrip(spark, sf).select("p_partkey", "repaired", F.col("errors").between(0, 16).alias("in_bounds"))
+
+
+@other("ecc_files", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def ecc_files(spark, sf):
+    storage.write(load(spark, sf, "nation"), path := shared(spark), rs=True)
+    ecc.repair_files(spark, path)
+    return storage.read(spark, path)
+
+
 FLAGSHIP = "SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag ORDER BY l_returnflag"
 sql("flagship", FLAGSHIP)

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import EngineError
 from .plans.sqlparser import split_script
@@ -24,8 +25,8 @@ def show(df: DataFrame, out: TextIO, style: str = "table", header: bool = True)
     """Write the rows of df as a table, CSV or lines of JSON; the number of rows."""
     if style == "json":
         n = 0
-        for line in df.toJSON().toLocalIterator():
-            print(line, file=out)
+        for row in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+            print(row[0], file=out)
             n += 1
         return n
     cursor = Cursor(df)

@@ -23,3 +23,7 @@ class BadSchema(EngineError):
 
 class BadArgs(EngineError):
     """A statement or argument is malformed."""
+
+
+class Conflict(StorageError):
+    """Another session has written the version that was to be written."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..errors import NotFound, StorageError
+from ..errors import Conflict, NotFound
 
 
 class Files:
@@ -44,7 +44,16 @@ class Files:
         out.close()
         if self.fs.exists(self._path(name)) or not self.fs.rename(draft, self._path(name)):
             self.fs.delete(draft, False)
-            raise StorageError(f"{self.root}/{name} was written by another session")
+            raise Conflict(f"{self.root}/{name} was written by another session")
+
+    def replace(self, name: str, content: bytes) -> None:
+        """Put other bytes in a file's place: they are written aside first."""
+        draft = self._path(f"_{name.rpartition('/')[2]}.{self.jvm.java.util.UUID.randomUUID()}.draft")
+        out = self.fs.create(draft, True)
+        out.write(bytearray(content))
+        out.close()
+        self.fs.delete(self._path(name), False)
+        self.fs.rename(draft, self._path(name))
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)

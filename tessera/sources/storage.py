@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import BadArgs, Corrupt, NotFound
 from ..operators import And, Op, Pred
 from ..plans.spec import Col, QuerySpec, Star, compile_spec
+from .ecc import protect_files
 from .files import Files
 
 CODECS = ("none", "snappy", "zstd", "lz4", "lz4_raw", "gzip")
@@ -39,8 +40,8 @@ def writer_options(df: DataFrame, codec: str) -> dict[str, str]:
     return options | {f"parquet.enable.dictionary#{n}": "false" for n, e in declared.items() if e in ("PLAIN", "DELTA")}
 
 
-def write(df: DataFrame, path: str, codec: str = "zstd", sort_by: Sequence[str] = (), partitions: int | None = None, mode: str = "errorifexists", row_group_bytes: int | None = None, manifest: bool = False) -> None:
-    """Write df; sort_by range-partitions and sorts it, so that filters on these columns skip files and row groups."""
+def write(df: DataFrame, path: str, codec: str = "zstd", sort_by: Sequence[str] = (), partitions: int | None = None, mode: str = "errorifexists", row_group_bytes: int | None = None, manifest: bool = False, rs: bool = False) -> None:
+    """Write df, with parity bytes for repair_files() if `rs`; sort_by range-partitions and sorts it, so that filters on these columns skip files and row groups."""
     options = writer_options(df, codec) | ({"parquet.block.size": str(row_group_bytes)} if row_group_bytes else {})
     if sort_by:
         dealt = df.repartitionByRange(partitions, *sort_by) if partitions else df.repartitionByRange(*sort_by)
@@ -48,6 +49,8 @@ def write(df: DataFrame, path: str, codec: str = "zstd", sort_by: Sequence[str]
     elif partitions:
         df = df.repartition(partitions)
     df.write.mode(mode).options(**options).parquet(path)
+    if rs:
+        protect_files(df.sparkSession, path)
     if manifest:
         spark = df.sparkSession
         files = Files(spark, path)
@@ -73,6 +76,14 @@ def read_partition(df: DataFrame, number: int) -> DataFrame:
     return df.where(F.spark_partition_id() == number)
 
 
+def read_chunk(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The rows of one file of a path, in the order of file names; no other file is read."""
+    files = sorted(read(spark, path).inputFiles())
+    if not 0 <= number < len(files):
+        raise BadArgs(f"chunk {number} of {len(files)}")
+    return spark.read.parquet(files[number])
+
+
 def query(spark: SparkSession, path: str, predicates: Sequence[tuple | Pred] = (), columns: Sequence[str] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Rows for which all predicates (column, op, value) hold; limit None is unlimited, an offset past the end is empty."""
     preds = [p if isinstance(p, Pred) else Pred(p[0], Op(p[1]) if isinstance(p[1], str) else p[1], *p[2:]) for p in predicates]

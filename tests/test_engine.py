@@ -7,7 +7,8 @@ import random
 import pytest
 
 from tessera import BadArgs, BadSchema, Corrupt, Database, NotFound, Op, Or, Pred, query
-from tessera.cli import Shell, main
+from tessera.cli import Shell, main, show
+from tessera.errors import Conflict
 from tessera.plans.sqlparser import parse, split_script
 from tessera.sources import advisor, ecc, storage
 from tessera.sources.files import Files
@@ -174,3 +175,61 @@ def test_cursors_and_shell(db, capsys, tmp_path):
     script.write_text("-- note\nINSERT INTO people VALUES ('it''s', 7, NULL);\nSELECT name FROM people WHERE age = 7;")
     assert main([db.path, "-f", str(script), "-json"], db.spark) == 0 and capsys.readouterr().out == '{"name":"it\'s"}\n'
     assert main([db.path, "-c", "SELECT nothing FROM people"], db.spark) == 1
+
+
+def test_a_table_made_in_a_transaction_appears_with_its_commit(spark, tmp_path):
+    a, b = Database(spark, str(tmp_path)), Database(spark, str(tmp_path))
+    a.exec("BEGIN")
+    a.exec("CREATE TABLE t (x I32)")
+    a.exec("INSERT INTO t VALUES (1)")
+    assert [r.x for r in a.exec("SELECT * FROM t").collect()] == [1] and a.tables() == ["t"] and b.tables() == []
+    a.exec("ROLLBACK")
+    assert a.tables() == [] == Database(spark, str(tmp_path)).tables()
+    a.exec("BEGIN")
+    a.exec("CREATE TABLE t (x I32)")
+    a.exec("INSERT INTO t VALUES (2)")
+    a.exec("COMMIT")
+    assert [r.x for r in Database(spark, str(tmp_path)).exec("SELECT * FROM t").collect()] == [2]
+
+
+def test_a_commit_on_an_old_version_is_a_conflict(spark, tmp_path):
+    a, b = Database(spark, str(tmp_path)), Database(spark, str(tmp_path))
+    a.exec("CREATE TABLE t (x I32)")
+    a.exec("INSERT INTO t VALUES (1)")
+    a.exec("BEGIN")
+    a.exec("INSERT INTO t VALUES (2)")
+    b.exec("INSERT INTO t VALUES (3)")
+    with pytest.raises(Conflict):
+        a.exec("COMMIT")
+    assert sorted(r.x for r in a.exec("SELECT * FROM t").collect()) == [1, 3]
+    a.exec("INSERT INTO t VALUES (4)")
+    a.exec("DROP TABLE t")
+    a.exec("CREATE TABLE t (y I32)")
+    assert b.exec("SELECT * FROM t").columns == ["y"]
+
+
+def test_json_lines_of_the_shell_keep_nulls(spark):
+    out = io.StringIO()
+    show(spark.createDataFrame([(1, None)], "a int, b string"), out, "json")
+    assert out.getvalue() == '{"a":1,"b":null}\n'
+
+
+def test_damaged_files_are_put_right(spark, tmp_path):
+    path = tmp_path / "t"
+    storage.write(spark.range(5000).selectExpr("id", "concat('name ', id) AS name"), str(path), partitions=2, rs=True)
+    want = storage.fingerprint(spark.read.parquet(str(path)))
+    files = sorted(path.glob("*.parquet"))
+    raw = bytearray(files[0].read_bytes())
+    for i in range(100, 140):
+        raw[i] ^= 0x5A
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    files[0].write_bytes(raw)
+    assert ecc.repair_files(spark, str(path)) == 40 and ecc.repair_files(spark, str(path)) == 0
+    assert storage.fingerprint(storage.read(spark, str(path))) == want
+    assert storage.read_chunk(spark, str(path), 0).count() + storage.read_chunk(spark, str(path), 1).count() == 5000
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    files[1].write_bytes(bytes(len(files[1].read_bytes())))
+    with pytest.raises(Corrupt):
+        ecc.repair_files(spark, str(path))
