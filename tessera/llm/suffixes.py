@@ -10,12 +10,14 @@ block with a bit for each window: does a smaller document hold it? Minimizers wi
 windows, dealt by their own hash. Hashes only decide where strings meet; equality is that of bytes.
 
 Texts go in compressed blocks of about BLOCK bytes; blocks and messages are written tables or shuffles, nothing is
-collected, and the number of buckets follows the bytes of the corpus.
+collected, and the number of buckets follows the bytes of the corpus. A message is for a stretch of neighbouring buckets,
+so a block sends MESSAGES at most and messages grow in proportion to the corpus, until stretches are WIDEST (64 GB of
+text); beyond that they grow with the square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,7 @@ LENGTH = 50
 WORD = 24
 BLOCK = 8 << 20
 BUCKET = 2 << 20  # bytes of the corpus for each bucket
+MESSAGES, WIDEST = 256, 128  # messages of a block to buckets; buckets in one message
 HOT = 50_000
 PIECE = 1 << 21  # windows looked at together
 WORDS = 11  # of eight bytes in a row
@@ -179,15 +182,48 @@ def runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def table(schema: str, columns: list[list]) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+def width_of(buckets: int) -> int:
+    """Buckets in one message: so many that a block sends MESSAGES at most, up to WIDEST, which bounds what a task gathers."""
+    return max(8, min(WIDEST, -(-buckets // MESSAGES)))
+
+
+def table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
     names = [x.strip().split() for x in schema.split(",")]
-    return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(names, columns)})
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(names)})
+
+
+ASKED = "stretch int, block long, buckets array<int>, keys array<binary>, counts array<binary>"
+ANSWER = "block long, kind int, buckets array<int>, said array<binary>"
+STRINGS = "stretch int, block long, buckets array<int>, windows array<binary>, keys array<binary>, least array<binary>, bytes array<binary>"
+
+
+def message(rows: list[tuple], block: int, width: int, bucket: int, *values: bytes) -> None:
+    """Add what a block says to a bucket to its message to the bucket's stretch of `width` buckets; buckets come in order."""
+    if not rows or rows[-1][0] != bucket // width:
+        rows.append((bucket // width, block, [], *([] for _ in values)))
+    for column, v in zip(rows[-1][2:], (bucket, *values)):
+        column.append(v)
+
+
+def by_bucket(t: pa.Table, names: tuple[str, ...], kind: int, f: Callable[..., list[bytes]]) -> pa.Table:
+    """Answers to the messages of one stretch: f is called for one bucket after the other with what all blocks sent to it."""
+    sent: dict[int, list[tuple]] = {}
+    for r in t.to_pylist():
+        for b, *values in zip(r["buckets"], *(r[n] for n in names)):
+            sent.setdefault(b, []).append((r["block"], *values))
+    said: dict[int, tuple[list[int], list[bytes]]] = {}
+    for b in sorted(sent):
+        blocks, *columns = zip(*sent.pop(b))
+        for block, answer in zip(blocks, f(*columns)):
+            own = said.setdefault(block, ([], []))
+            own[0].append(b)
+            own[1].append(answer)
+    return table(ANSWER, [(block, kind, *own) for block, own in said.items()])
 
 
-ASKED = "bucket int, block long, keys binary, counts binary"
-ANSWER = "block long, bucket int, kind int, said binary"
-STRINGS = "bucket int, block long, windows binary, keys binary, least binary, bytes binary"
+def answers_of(rows: list[dict], kind: int) -> dict[int, bytes]:
+    return {b: x for r in rows if r["kind"] == kind for b, x in zip(r["buckets"], r["said"])}
 
 
 def ask(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -205,13 +241,12 @@ def ask(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
                 to = bucket_of(key, buckets)
                 order = np.argsort(to, kind="stable")
                 to, key, count = to[order], short_key(key[order]), count[order]
-                cols: list[list] = [[], [], [], []]
+                rows: list[tuple] = []
                 edges = np.append(runs(to), len(to))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     k = np.sort(key[x:y] << np.uint64(8) | count[x:y])  # the answer is in this order
-                    for c, v in zip(cols, (int(to[x]), number, planes(k >> np.uint64(8)), pack((k & np.uint64(255)).astype(np.uint8)))):
-                        c.append(v)
-                yield from table(ASKED, cols).to_batches()
+                    message(rows, number, width_of(buckets), int(to[x]), planes(k >> np.uint64(8)), pack((k & np.uint64(255)).astype(np.uint8)))
+                yield from table(ASKED, rows).to_batches()
 
     return blocks.mapInArrow(of, ASKED)
 
@@ -219,9 +254,9 @@ def ask(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
 def answer(asked: DataFrame, hot: int) -> DataFrame:
     """For each asked minimizer: 0 if it occurs once in the corpus, 1 if more often, 2 if more than `hot` times."""
 
-    def of(t: pa.Table) -> pa.Table:
-        keys = [unplanes(x.as_py(), "<u8") for x in t["keys"]]
-        counts = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint8) for x in t["counts"]]
+    def of(keys: tuple[bytes, ...], counts: tuple[bytes, ...]) -> list[bytes]:
+        keys = [unplanes(x, "<u8") for x in keys]
+        counts = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in counts]
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")
         at = runs(every[order])
@@ -229,9 +264,9 @@ def answer(asked: DataFrame, hot: int) -> DataFrame:
         said = np.empty(len(every), dtype=np.uint8)
         said[order] = np.repeat((total > 1).astype(np.uint8) + (total > hot), np.diff(np.append(at, len(every))))
         parts = np.split(said, np.cumsum([len(k) for k in keys])[:-1])
-        return table(ANSWER, [t["block"].to_pylist(), t["bucket"].to_pylist(), [1] * len(parts), [pack(p) for p in parts]])
+        return [pack(p) for p in parts]
 
-    return asked.groupBy("bucket").applyInArrow(of, ANSWER)
+    return asked.groupBy("stretch").applyInArrow(lambda t: by_bucket(t, ("keys", "counts"), 1, of), ANSWER)
 
 
 @dataclass
@@ -283,18 +318,18 @@ def send(blocks: DataFrame, answers: DataFrame, buckets: int, length: int) -> Da
     """Each block's distinct strings whose minimizers occur more than once, by bucket."""
 
     def of(mine: pa.Table, said: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(6)]
+        rows: list[tuple] = []
+        told = answers_of(said.to_pylist(), 1)
         for r in mine.to_pylist():
-            s = Strings.of(Block.of(r["ids"], r["sizes"], r["texts"]), dict(zip(said["bucket"].to_pylist(), said["said"].to_pylist())), buckets, length)
+            s = Strings.of(Block.of(r["ids"], r["sizes"], r["texts"]), told, buckets, length)
             f = s.first
             edges = np.append(runs(s.bucket[f]), len(f))
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 at = f[x:y]
                 size = s.windows[at] + length - 1
                 letters = np.ascontiguousarray(s.rows[at]).view(np.uint8).reshape(-1, ROW)[np.arange(ROW) < size[:, None]]
-                for c, v in zip(cols, (int(s.bucket[at[0]]), r["block"], pack(s.windows[at].astype(np.uint8)), planes(s.key[at].astype(np.uint32)), planes(s.least[x:y]), pack(letters))):
-                    c.append(v)
-        return table(STRINGS, cols)
+                message(rows, r["block"], width_of(buckets), int(s.bucket[at[0]]), pack(s.windows[at].astype(np.uint8)), planes(s.key[at].astype(np.uint32)), planes(s.least[x:y]), pack(letters))
+        return table(STRINGS, rows)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of, STRINGS)
 
@@ -378,15 +413,15 @@ def least_holders(rows: np.ndarray, windows: np.ndarray, least: np.ndarray, leng
 def resolve(strings: DataFrame, length: int) -> DataFrame:
     """For each string that a block sent, bits of its windows: a document smaller than the block's least holder has it."""
 
-    def of(t: pa.Table) -> pa.Table:
-        windows = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint8).astype(np.int64) for x in t["windows"]]
-        key = np.concatenate([unplanes(x.as_py(), "<u4") for x in t["keys"]])
-        least = np.concatenate([unplanes(x.as_py(), "<i8") for x in t["least"]])
+    def of(windows: tuple[bytes, ...], keys: tuple[bytes, ...], least: tuple[bytes, ...], letters: tuple[bytes, ...]) -> list[bytes]:
+        windows = [np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in windows]
+        key = np.concatenate([unplanes(x, "<u4") for x in keys])
+        least = np.concatenate([unplanes(x, "<i8") for x in least])
         sent = [len(w) for w in windows]
         count = np.concatenate(windows)
         size = count + length - 1
         rows = np.zeros((len(count), ROW), dtype=np.uint8)
-        rows[np.arange(ROW) < size[:, None]] = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in t["bytes"]), np.uint8)
+        rows[np.arange(ROW) < size[:, None]] = np.frombuffer(b"".join(map(zstandard.decompress, letters)), np.uint8)
         rows = rows.view("<u8")
         order = np.lexsort((row_hash(rows, size), key))
         key_, rows_, count_, least_ = key[order], rows[order], count[order], least[order]
@@ -413,9 +448,9 @@ def resolve(strings: DataFrame, length: int) -> DataFrame:
         mask = np.empty(len(order), dtype=np.uint32)
         mask[order] = mask_.astype(np.uint32)
         parts = np.split(mask, np.cumsum(sent)[:-1])
-        return table(ANSWER, [t["block"].to_pylist(), t["bucket"].to_pylist(), [2] * len(parts), [planes(p) for p in parts]])
+        return [planes(p) for p in parts]
 
-    return strings.groupBy("bucket").applyInArrow(of, ANSWER)
+    return strings.groupBy("stretch").applyInArrow(lambda t: by_bucket(t, ("windows", "keys", "least", "bytes"), 2, of), ANSWER)
 
 
 def covered(b: Block, s: Strings, said: dict[int, bytes], length: int) -> np.ndarray:
@@ -451,11 +486,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def of(mine: pa.Table, said: pa.Table) -> pa.Table:
         ids, sizes, kept, spans = [], [], [], []
+        told = {kind: answers_of(said.to_pylist(), kind) for kind in (1, 2)}
         for r in mine.to_pylist():
             b = Block.of(r["ids"], r["sizes"], r["texts"])
-            told: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
-            for a in said.to_pylist():
-                told[a["kind"]][a["bucket"]] = a["said"]
             gone = covered(b, Strings.of(b, told[1], buckets, length), told[2], length)
             begin = 0
             for i, end in zip(b.ids.tolist(), b.ends.tolist()):

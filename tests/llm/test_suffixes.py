@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tessera.llm import suffixes
 from tessera.llm.suffixes import remove_repeats, suffix_array
 
 
@@ -62,3 +63,17 @@ def test_suffix_array():
     for _ in range(200):
         x = [rng.randint(1, rng.choice([2, 3, 90])) for _ in range(rng.randint(0, 60))]
         assert suffix_array(np.array(x, dtype=np.int64)).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def test_messages_grow_with_the_blocks(spark):
+    """The messages of a block are bounded, so their number is in proportion to the corpus."""
+    rng = random.Random(3)
+    made = []
+    for n in (40, 160):
+        docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefgh ", k=3000))) for i in range(n)], "doc_id long, text string").repartition(2)
+        blocks = suffixes.cut(suffixes.blocks_of(docs, "doc_id", "text", 15_000), "blocks")
+        buckets = n * 3000 // 1000
+        asked = suffixes.cut(suffixes.ask(blocks, buckets, 50), "asked")
+        made.append((blocks.count(), asked.count()))
+        assert made[-1][1] == made[-1][0] * -(-buckets // suffixes.width_of(buckets))
+    assert all(-(-b // suffixes.width_of(b)) <= suffixes.MESSAGES for b in range(1, 32_768, 111))
