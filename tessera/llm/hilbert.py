@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve: documents close in language, source and length get close ranks.
 
-Each dimension is quantised to 2**BITS cells whose bounds are quantiles, strings by the number their first six bytes
-make, so that order is kept and every shard file has narrow ranges in all dimensions. Rows are sorted by the curve's
-index and then by id, and the order is cut into runs whose row counts differ by one at most. A cell of any size is
+Each dimension is quantised to 2**BITS cells whose bounds are quantiles over all rows, strings by the number that the
+six bytes after their common head make, so that order is kept and every shard file has narrow ranges in all dimensions
+(strings that differ later only share a cell). Rows are sorted by the curve's index and then by id, and the order is cut into runs whose row counts differ by one at most. A cell of any size is
 divided, since the id is part of the sort key.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 BITS = 6
 SHARDS = 24
@@ -51,40 +51,60 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def as_number(df: DataFrame, col: str) -> F.Column:
-    """A number in the order of the column: numbers as they are, the rest by the first six bytes of their text; null: -1."""
-    if df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double"):
+def shared_head(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """For each column the number of bytes with which all its values begin: what the least and the greatest have in common."""
+    if not cols:
+        return {}
+    raw = lambda c: F.col(c).cast("string").cast("binary")
+    r = df.agg(*(f(raw(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("a", F.min), ("b", F.max)))).first()
+    out = {}
+    for i, c in enumerate(cols):
+        a, b = bytes(r[f"a{i}"] or b""), bytes(r[f"b{i}"] or b"")
+        out[c] = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return out
+
+
+def is_number(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+
+
+def as_number(df: DataFrame, col: str, head: int) -> F.Column:
+    """A number in the order of the column: numbers as they are, the rest by six bytes of their text after the `head` that all share; null: -1."""
+    if is_number(df, col):
         return F.coalesce(F.when(~F.isnan(F.col(col).cast("double")), F.col(col).cast("double")), F.lit(-1.0))
-    head = F.rpad(F.hex(F.substring(F.col(col).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+    part = F.rpad(F.hex(F.substring(F.col(col).cast("string").cast("binary"), head + 1, 6)), 12, "0")
+    return F.coalesce(F.conv(part, 16, 10).cast("double"), F.lit(-1.0))
 
 
 def hilbert_ranked(df: DataFrame, dims: list[str], id_col: str = "doc_id", bits: int = BITS) -> tuple[DataFrame, int]:
-    """df with hilbert_index and row_rank (gapless from 0, by index, then id, then the other columns), and the row count."""
+    """df with hilbert_index and row_rank (gapless from 0, by index, then id, then a hash of the other columns), and the row count."""
     spark = df.sparkSession
-    df = cut(df.withColumns({f"_d{i}": as_number(df, c) for i, c in enumerate(dims)}), "hilbert")
+    heads = shared_head(df, [c for c in dims if not is_number(df, c)])
+    names = fresh(df, *(f"d{i}" for i in range(len(dims))))
+    spot, at, part_, start = fresh(df, "spot", "at", "part", "start")
+    rest = [c for c in df.columns if c != id_col]
+    df = cut(df.withColumns({n: as_number(df, c, heads.get(c, 0)) for n, c in zip(names, dims)}), "hilbert")
     share = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*(F.percentile_approx(f"_d{i}", share, 10_000).alias(f"_d{i}") for i in range(len(dims)))).first()
+    cuts = df.agg(*(F.percentile_approx(n, share, 10_000) for n in names)).first()
     bounds = [np.array(cuts[i] if cuts[i] is not None else [], dtype=np.float64) for i in range(len(dims))]
 
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([np.searchsorted(b, c.to_numpy(), side="right") for b, c in zip(bounds, columns)], axis=1), bits))
 
-    rest = [c for c in df.columns if c != id_col and not c.startswith("_d")]
-    keyed = df.withColumn("hilbert_index", index(*(F.col(f"_d{i}") for i in range(len(dims))))).drop(*(f"_d{i}" for i in range(len(dims))))
-    key = ["hilbert_index", id_col, *rest]
+    keyed = df.withColumn("hilbert_index", index(*(F.col(n) for n in names))).withColumn(spot, F.xxhash64(*rest)).drop(*names)
+    key = ["hilbert_index", id_col, spot]  # of bounded size, however long the rows' texts are
     # The written order is fixed: partition number and place in it are in the written id, so a rank is a sum.
-    placed = cut(keyed.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id()), "hilbert")
-    part = F.shiftright("_at", 33)
+    placed = cut(keyed.repartitionByRange(*key).sortWithinPartitions(*key).drop(spot).withColumn(at, F.monotonically_increasing_id()), "hilbert")
+    part = F.shiftright(at, 33)
     sizes = sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
     offset, total = {}, 0
     for r in sizes:
         offset[r.p] = total
         total += r.n
-    starts = spark.createDataFrame(list(offset.items()) or [(0, 0)], "_p long, _start long")
-    ranked = placed.withColumn("_p", part.cast("long")).join(F.broadcast(starts), "_p").withColumn("row_rank", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1))
-    return ranked.drop("_p", "_start", "_at"), total
+    starts = spark.createDataFrame(list(offset.items()) or [(0, 0)], f"{part_} long, {start} long")
+    ranked = placed.withColumn(part_, part.cast("long")).join(F.broadcast(starts), part_).withColumn("row_rank", F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1))
+    return ranked.drop(part_, start, at), total
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int = SHARDS, id_col: str = "doc_id") -> DataFrame:
@@ -104,9 +124,12 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int = SHARDS, id_col:
 
 
 def write_shards(df: DataFrame, path: str, dims: list[str], shards: int = SHARDS, id_col: str = "doc_id") -> None:
-    """Write df as one folder for each shard, rows in slot order."""
+    """Write df as one folder for each shard, its files runs of slots in order, by as many tasks as the bytes need.
+
+    Nulls, repeated rows and columns as in hilbert_shards; an empty table leaves a folder without shards.
+    """
     out = hilbert_shards(df, dims, shards, id_col)
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, splitmix
+from .common import LOWER, UPPER, cut, fresh, splitmix
 
 RULES = [
     ("com", "/", "allow"),
@@ -84,8 +84,8 @@ def filter_of(keys: DataFrame, level: int, rate: float, max_filter_bytes: int) -
         yield pd.DataFrame({"word": at, "ones": words[at].view(np.int64)})
 
     words = np.zeros(bits // 64 + 1, dtype=np.uint64)
-    for r in keys.mapInPandas(ones, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).collect():
-        words[r.word] = np.uint64(r.ones & (2**64 - 1))
+    got = keys.mapInPandas(ones, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toArrow()  # max_filter_bytes / 8 rows at most
+    words[got["word"].to_numpy()] = got["ones"].to_numpy().view(np.uint64)
     return Level(bits, hashes, words)
 
 
@@ -163,10 +163,12 @@ def judge_urls(
     hashes = lambda k: (F.xxhash64(k), F.xxhash64(k, F.lit("~")))
     pair = lambda df: df.select(*(h.alias(n) for h, n in zip(hashes(F.col("key")), ("h1", "h2"))))
     try:
-        # Only keys that pass the rules' own filter are dealt out; those that are rules themselves are no negatives.
-        universe = out.select(F.explode(keys).alias("key")).select("key", *(h.alias(n) for h, n in zip(hashes(F.col("key")), ("h1", "h2"))))
+        # Only keys that pass the rules' own filter are dealt out; those that are rules themselves are no negatives, which
+        # an aggregation of both tells.
+        universe = pair(out.select(F.explode(keys).alias("key")))
         first = filter_of(pair(rules), 0, first_rate, max_filter_bytes)
-        others = cut(passing(universe, first, 0).distinct().join(rules, "key", "left_anti").select("h1", "h2"), "universe")
+        both = passing(universe, first, 0).withColumn("own", F.lit(0)).unionAll(pair(rules).withColumn("own", F.lit(1)))
+        others = cut(both.groupBy("h1", "h2").agg(F.max("own").alias("own")).where("own = 0").select("h1", "h2"), "universe")
         is_rule = build_cascade(pair(rules), others, first_rate, max_filter_bytes)
         is_block = build_cascade(pair(rules.where("action = 'block'")), pair(rules.where("action <> 'block'")), first_rate, max_filter_bytes)
     except FilterTooLarge:
@@ -190,24 +192,25 @@ def judge_urls(
         out[rows] = np.where(listed(blocks, h1[hit], h2[hit]), place, -place)
         return pd.Series(out)
 
-    at = winner(F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(k, F.lit("~"))))
-    out = out.withColumn("_keys", keys).withColumn("_at", at)
+    held, at = fresh(out, "held", "at")
+    out = out.withColumn(held, keys).withColumn(at, winner(F.transform(held, lambda k: F.xxhash64(k)), F.transform(held, lambda k: F.xxhash64(k, F.lit("~")))))
     return (
-        out.withColumn("rule", F.when(F.col("_at") != 0, F.element_at("_keys", F.abs("_at"))))
-        .withColumn("verdict", F.when(F.col("_at") > 0, "block").when(F.col("_at") < 0, "allow").otherwise(DEFAULT_VERDICT))
-        .drop("_keys", "_at")
+        out.withColumn("rule", F.when(F.col(at) != 0, F.element_at(held, F.abs(at))))
+        .withColumn("verdict", F.when(F.col(at) > 0, "block").when(F.col(at) < 0, "allow").otherwise(DEFAULT_VERDICT))
+        .drop(held, at)
     )
 
 
 def judge_by_join(out: DataFrame, keys: Column, rules: DataFrame) -> DataFrame:
     """The same verdicts by a shuffled join over distinct hosts and paths, for rule lists beyond any filter's bound."""
+    (w,) = fresh(out, "w")
     asked_for = out.select("host", "path").distinct().select("host", "path", F.posexplode(keys).alias("at", "key"))
-    won = asked_for.join(rules.select("key", "action"), "key").groupBy("host", "path").agg(F.min(F.struct("at", "key", "action")).alias("w"))
+    won = asked_for.join(rules.select("key", "action"), "key").groupBy("host", "path").agg(F.min(F.struct("at", "key", "action")).alias(w))
     return (
         out.join(won, ["host", "path"], "left")
-        .withColumn("rule", F.col("w.key"))
-        .withColumn("verdict", F.when(F.col("w").isNull(), DEFAULT_VERDICT).when(F.col("w.action") == "block", "block").otherwise("allow"))
-        .drop("w")
+        .withColumn("rule", F.col(w)["key"])
+        .withColumn("verdict", F.when(F.col(w).isNull(), DEFAULT_VERDICT).when(F.col(w)["action"] == "block", "block").otherwise("allow"))
+        .drop(w)
     )
 
 

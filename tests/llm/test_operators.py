@@ -28,7 +28,8 @@ def test_op1_on_odd_urls(spark, bound):
     hosts = ["example.com", "EXAMPLE.com", "www.example.com", "a.www.example.com", "com", "x.net", "net", "notexample.com", "", "example.net.", "é.com"]
     paths = ["", "/", "/en/", "/en/x", "/EN/", "/es/1?q", "/fr/", "/fr", "?x=/en/", "#/en/"]
     urls = [f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(200)] + [None, "", "no scheme", "://", "a://b://c/"]
-    pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    urls += [urls[0], urls[0], "http://example.com/en/" + "x" * 1_000_000, "http://" + "a." * 20_000 + "net/es/"]
+    pages = spark.createDataFrame([(i, u, "kept", 1, 2, 3) for i, u in enumerate(urls)], "page_id long, url string, rule string, _at int, at int, held int")
     rules = spark.createDataFrame(url_cascade.RULES, "host string, path string, action string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_cascade.judge_urls(pages, rules, max_filter_bytes=bound).collect()}
     for i, u in enumerate(urls):
@@ -256,12 +257,40 @@ def test_op8_curve_and_odd_rows(spark):
     path = grid[np.argsort(h)]
     assert sorted(h.tolist()) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
     rows = [(i, "same", "en", "s", 1) for i in range(30)] + [(None, None, None, None, 2), (1, "same", "en", "s", 3), (31, "", "é" * 9, "z", 4)]
-    out = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int"), ["lang", "source"], 7).collect()
+    made = spark.createDataFrame([(*r, 8, 9) for r in rows], "doc_id long, text string, lang string, source string, shard int, _p int, _d0 int")
+    out = hilbert.hilbert_shards(made, ["lang", "source"], 7).collect()
+    assert all(r._p == 8 and r._d0 == 9 for r in out)
     sizes = [sum(r.shard == s for r in out) for s in range(7)]
     assert len(out) == 33 and max(sizes) - min(sizes) <= 1
     assert hilbert.shard_digest(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
 
 
+def test_op8_order_against_brute_force_and_written_shards(spark, tmp_path):
+    """Cells by quantiles of whole columns, the curve's index, id as tie: slots as a plain sort gives them; few shards hold a range."""
+    rng = random.Random(4)
+    rows = [(i, "https://source/%s" % rng.choice("abcdefgh"), rng.randint(0, 10_000)) for i in rng.sample(range(5000), 900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
+    hilbert.write_shards(df, str(tmp_path / "out"), ["source", "size"], 16)
+    got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    number = {"s": lambda r: int.from_bytes(r[1].encode()[len("https://source/") :][:6].ljust(6, b"\0"), "big"), "n": lambda r: r[2]}
+    cells = []
+    for f in number.values():
+        v = sorted(map(f, rows))
+        bounds = [v[max(0, -(-i * len(v) // 64) - 1)] for i in range(1, 64)]
+        cells.append([sum(b <= f(r) for b in bounds) for r in rows])
+    index = hilbert.hilbert_index(np.array(cells).T, 6)
+    order = sorted(range(900), key=lambda j: (index[j], rows[j][0]))
+    for rank, j in enumerate(order):
+        shard = rank * 16 // 900
+        first = -(-shard * 900 // 16)
+        assert (got[rows[j][0]].shard, got[rows[j][0]].slot) == (shard, rank - first)
+    by = {}
+    for r in got.values():
+        by.setdefault(r.shard, []).append(r)
+    assert sum(any(r.source.endswith("c") for r in x) for x in by.values()) <= 8  # of 16
+    assert sum(any(4000 <= r["size"] < 4200 for r in x) for x in by.values()) <= 8
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
