@@ -156,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     got = found.withColumn("so_far", F.sum(F.octet_length("x")).over(so_far)).where(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda i: (zlib.crc32(str(got["id"][i]).encode()), got["id"][i], got["x"][i]))
     rows = [np.frombuffer(got["x"][i], dtype=np.int32) for i in order]
-    return fit(rows, np.array([got["y"][i] for i in order], dtype=np.int64))
+    model = fit(rows, np.array([got["y"][i] for i in order], dtype=np.int64))
+    del got, rows
+    pa.default_memory_pool().release_unused()  # the driver keeps the model, not the sample
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
