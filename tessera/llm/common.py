@@ -310,15 +310,43 @@ def tile_pairs(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iter
         yield from work(pa.Table.from_batches(held).combine_chunks())
 
 
+EDGES = 250_000  # that stars() links at a time
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (a long, b long; a > b) that link the same nodes: those of each partition, EDGES at a time, as pairs of a
+    node and the smallest node it is linked to."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            nodes, roots = forest(t["a"].to_numpy(), t["b"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= EDGES:
+                yield from out()
+        if held:
+            yield from out()
+
+    return edges.select("a", "b").mapInArrow(link, "a long, b long")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a long, b long): (node, root), root the smallest node of the component.
 
     Each round points every node to its smallest neighbour, follows pointers by doubling and contracts the edges to
-    edges between roots, so rounds grow with the logarithm of the size. Every state is a written table; nothing is
-    collected, and joins on a hub read plain tables, so adaptive execution can split them.
+    edges between roots, so rounds grow with the logarithm of the size. Before each round the edges of a partition
+    become stars, which leaves fewer edges and shorter paths. Every state is a written table;
+    nothing is collected, and joins on a hub read plain tables, so adaptive execution can split them.
     """
     spark = edges.sparkSession
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    e = cut(stars(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), name)
     result = None
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -333,7 +361,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
                 break
         to = lambda c: m.select(F.col("node").alias(c), F.col("root").alias("r" + c))
         last, e = e, cut(
-            e.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(),
+            stars(e.join(to("a"), "a").join(to("b"), "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct()),
             name,
         )
         discard(last)
