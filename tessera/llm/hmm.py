@@ -273,9 +273,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sta
     docs = docs.select(id_col, text, (id_hash(F.col(id_col)) % 7 == 2).alias("held_out"))
     counts = cut(count_words(docs.where("not held_out"), text), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
-    # The frequent words are those of the highest classes of counts; the last class that has room gives the words of
-    # the smallest hash.
-    level, place = F.floor(F.log2("c") * 64), F.xxhash64("w")
+    # The frequent words are those of the highest classes of counts; the last class that has room gives a sample by hash.
+    level = F.floor(F.log2("c") * 64)
     edge, have, part = None, 0, None
     for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # at most 64 * 63 rows
         if have + r.n > frequent:
@@ -286,9 +285,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sta
     top = counts.where(level >= edge).collect() if edge is not None else []  # at most `frequent` rows
     others = counts.where(level < edge) if edge is not None else counts
     if part is not None and have < frequent:
-        more = sampled(counts.where(level == part.level), frequent - have, part.n, "w").select("w", "c", place.alias("at")).collect()
-        top += more
-        others = counts.where((level < part.level) | ((level == part.level) & (place > max((r["at"] for r in more), default=-(1 << 63)))))
+        more = cut(sampled(counts.where(level == part.level), frequent - have, part.n, "w").select("w", "c"), "filling")
+        top += more.collect()
+        # The sample is thinned before it is sorted, so no bound on the hash tells its words from the others.
+        others = counts.where(level <= part.level).join(F.broadcast(more.select("w")), "w", "left_anti")
     top = sorted(top, key=lambda r: (-r.c, r.w))
     classes = Classes({bytes(r.w): i for i, r in enumerate(top)}, np.array([r.c for r in top], dtype=np.float64), total, distinct)
     suffix = lambda w: (F.crc32(F.substring(w, -3, 3)) % SUFFIXES).cast("int")

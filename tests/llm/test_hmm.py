@@ -117,6 +117,21 @@ def test_contract_columns(spark):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("frequent", [50, 1000, 3000])
+def test_contract_columns_where_a_level_of_counts_does_not_fit(spark, frequent):
+    """The level is far larger than its room, so its words are thinned before they are chosen; all others stay known."""
+    import zlib
+
+    rng = random.Random(4)
+    docs = [(i, " ".join("w%d" % rng.randrange(4000) for _ in range(20))) for i in range(300)]
+    got = hmm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), rounds=0, frequent=frequent).collect()
+    split = lambda t: [*t.encode().split(), b""]
+    c = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+    n, v = sum(c.values()), len(c)
+    rows = sorted((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
+    assert rows == sorted((i, sum(c[w] > 0 for w in split(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in split(t)), 6)) for i, t in docs)
+
+
 def test_the_model_beats_the_base_on_ordered_text(spark):
     """Two moods that alternate rarely: the hidden states should see them, the base cannot."""
     rng = random.Random(9)
