@@ -153,6 +153,26 @@ def test_repair():
         ecc.repair_bytes(bytes(coded))
 
 
+def test_many_damaged_codewords_are_repaired_together(monkeypatch):
+    """Every value has errors; the steps of the decoder must not grow with the values, and each value keeps its own verdict."""
+    calls = []
+    monkeypatch.setattr(ecc, "mul", lambda *a, f=ecc.mul: calls.append(1) or f(*a))
+    rng = random.Random(7)
+    raws = [rng.randbytes(rng.choice([0, 5, 12, 215, 216, 700])) for _ in range(300)]
+    coded, want = [], []
+    for i, c in enumerate(map(bytearray, ecc.protect_all(raws))):
+        n = len(c) // ecc.SIZE
+        wrong = i % 21  # of one codeword; those of a value stand every n bytes
+        for place in rng.sample(range(ecc.SIZE), wrong):
+            c[place * n + n - 1] ^= rng.randrange(1, 256)
+        coded.append(bytes(c))
+        want.append((raws[i], wrong) if wrong <= 16 else (None, -1))
+    ecc.repair_all(coded[:30])
+    calls.clear()
+    assert ecc.repair_all([*coded, None, b"", b"abc"]) == [*want, (None, 0), (None, -1), (None, -1)]
+    assert len(calls) < len(coded)
+
+
 @pytest.mark.parametrize("values,choice", [([3 * i for i in range(500)], "DELTA"), ([500 - i for i in range(500)], "DELTA"), ([42] * 400, "RLE"), ([i // 100 for i in range(900)], "RLE"), ([37 * i % 251 for i in range(1000)], "PLAIN"), ([None] * 5, "PLAIN"), ([2**63 - 1 - i for i in range(9)], "DELTA")])
 def test_encoding_choice(spark, values, choice):
     df = spark.createDataFrame(list(enumerate(values)), "o long, v long").repartition(3)
